@@ -1,0 +1,69 @@
+"""Every registered query against the same question asked of DuckDB."""
+
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as registry
+
+DATA = os.environ.get("TALLYWORKS_DATA", "/root/testdata/sf0.001")
+TABLES = (
+    "region nation customer supplier part orders lineitem events "
+    "documents embeddings pages benchmark labels conversations"
+).split()
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    connection = duckdb.connect()
+    connection.execute("SET TimeZone = 'UTC'")
+    for table in TABLES:
+        connection.execute(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
+    return connection
+
+
+def canonical(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(row[i] for i in order) for row in rows), key=repr)
+
+
+def test_only_the_inventory_has_no_sql():
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"file_inventory"}
+    assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_matches_oracle(spark, oracle, name):
+    result = registry.queries()[name](spark, DATA)
+    actual = canonical(result.columns, result.collect())
+    answer = oracle.execute(registry.oracle_sql()[name])
+    expected_columns = [column[0] for column in answer.description]
+    expected = canonical(expected_columns, answer.fetchall())
+    assert sorted(result.columns) == sorted(expected_columns)
+    assert len(actual) == len(expected)
+    for mine, theirs in zip(actual, expected):
+        assert mine == theirs or all(
+            a == b or (isinstance(a, float) and math.isclose(a, b, rel_tol=1e-12)) for a, b in zip(mine, theirs)
+        )
+    types = duckdb_types(oracle, registry.oracle_sql()[name])
+    assert {field.name: SPARK_TYPES[field.dataType.simpleString()] for field in result.schema} == types
+
+
+SPARK_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def duckdb_types(oracle, sql):
+    return {row[0]: row[1] for row in oracle.execute(f"describe {sql}").fetchall()}
+
+
+def test_inventory_lists_every_file(spark):
+    rows = registry.queries()["file_inventory"](spark, DATA).collect()
+    assert [(row.path.rsplit("/", 1)[1], row.is_dir, row.len) for row in rows] == [
+        (f"{table}.parquet", False, os.path.getsize(f"{DATA}/{table}.parquet")) for table in sorted(TABLES)
+    ]
+
+
+def test_entry_has_rows(spark):
+    assert registry.entry(spark).count() > 0
