@@ -18,5 +18,5 @@ def rows_with(frame: DataFrame, column: str, *values: object) -> DataFrame:
 
 
 def has_value(frame: DataFrame, column: str, value: object, name: str = "found") -> DataFrame:
-    """One row that says whether a value occurs in a column; the scan can stop at the first hit."""
+    """One row that says whether a value occurs in a column; every task stops at its first hit."""
     return rows_with(frame, column, value).limit(1).agg((F.count("*") > 0).alias(name))

@@ -406,23 +406,18 @@ def _put_customers(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@query(
-    """select cast(c_custkey as varchar) as row_key, 'cf' as family, q.qualifier,
-              case q.qualifier when 'name' then c_name when 'nation' then cast(c_nationkey as varchar)
-                               else lower(c_mktsegment) end as value
-       from customer cross join (values ('name'), ('nation'), ('segment')) q(qualifier)
-       where c_custkey = 42"""
-)
+CUSTOMER_CELLS_SQL = """
+    select cast(c_custkey as varchar) as row_key, 'cf' as family, 'name' as qualifier, c_name as value from customer
+    union all select cast(c_custkey as varchar), 'cf', 'nation', cast(c_nationkey as varchar) from customer
+    union all select cast(c_custkey as varchar), 'cf', 'segment', lower(c_mktsegment) from customer"""
+
+
+@query(f"select * from ({CUSTOMER_CELLS_SQL}) where row_key = '42'")
 def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.get_row(spark, _put_customers(spark, sf_dir), "42")
 
 
-@query(
-    """select cast(c_custkey as varchar) as row_key, 'cf' as family, q.qualifier,
-              case q.qualifier when 'name' then c_name when 'nation' then cast(c_nationkey as varchar)
-                               else lower(c_mktsegment) end as value
-       from customer cross join (values ('name'), ('nation'), ('segment')) q(qualifier)"""
-)
+@query(CUSTOMER_CELLS_SQL)
 def cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.latest_cells(cells.read_cells(spark, _put_customers(spark, sf_dir)))
 

@@ -65,7 +65,10 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    """Path and length of every file. A split holds few large files, whose content is not
+    read here, so the splits are put together into a few tasks per core."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    return files.coalesce(4 * spark.sparkContext.defaultParallelism)
 
 
 def _prefix(base: str) -> str:

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from tallyworks.operators.tables import create_database
+
 
 def qualified_path(spark: SparkSession, path: str) -> str:
     """The path with the scheme and authority Spark puts before it in ``path`` columns."""
@@ -60,7 +62,7 @@ class Workspace:
     def table(self, label: str) -> str:
         """A qualified table name not used yet, in a database kept in the shared folder."""
         if not self._has_database:
-            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.name} LOCATION '{self.root}/tables'")
+            create_database(self.spark, self.name, f"{self.root}/tables")
             self._has_database = True
         return f"{self.name}.{label}_{uuid.uuid4().hex[:12]}"
 
