@@ -1,85 +1,92 @@
 """Keyed cells: a wide table kept as one row per written value.
 
-A cell is named by row key, column family and qualifier. Writing a cell again adds a
-version; reading returns the version with the highest ``(ts, seq)``. The files lie in
-folders by a hash of the row key, so that reading one row opens one folder.
+A cell is named by row key, column family and qualifier. Putting a cell again adds a
+version; reading returns the version with the highest ``(ts, seq)``. The table is
+partitioned by a hash of the row key and the catalog knows its partitions, so reading
+one row lists and opens one folder, however large the table is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 CELL_KEY = ("row_key", "family", "qualifier")
-CELL_SCHEMA = (
-    "row_key STRING, family STRING, qualifier STRING, value STRING, ts BIGINT, seq BIGINT, "
-    "buckets INT, row_bucket INT"
-)
+CELL_COLUMNS = "row_key STRING, family STRING, qualifier STRING, value STRING, ts BIGINT, seq BIGINT"
 
 
-def latest_by(frame: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row with the highest ``order`` columns for every key.
+def create_cell_table(spark: SparkSession, name: str, families: Sequence[str], buckets: int = 256) -> bool:
+    """Create a table for cells of the given column families unless it exists; true when created.
 
-    Spark keeps one row per key inside each map task before it shuffles, so many
-    versions of a single key do not end up in one task.
+    ``buckets`` is the number of folders. A few gigabytes in each is a good size.
     """
-    newest = Window.partitionBy(*key).orderBy(*[F.desc(name) for name in order])
-    return frame.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+    missing = not spark.catalog.tableExists(name)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({CELL_COLUMNS}, row_bucket INT) USING parquet "
+        f"PARTITIONED BY (row_bucket) "
+        f"TBLPROPERTIES ('cells.families' = '{','.join(families)}', 'cells.buckets' = '{buckets}')"
+    )
+    return missing
 
 
-def put_cells(
-    cells: DataFrame, path: str, families: Sequence[str] | None = None, buckets: int = 256
-) -> None:
+def put_cells(cells: DataFrame, name: str) -> None:
     """Append versions of cells: ``row_key, family, qualifier, value, ts, seq``.
 
-    With ``families`` given, a cell of any other family fails the write. The rows are
-    rebalanced by folder; adaptive execution splits a folder holding far more than the
-    others over several tasks and files.
+    A cell of a family the table does not have fails the write. The rows are rebalanced
+    by folder; adaptive execution splits a folder holding far more than the others over
+    several tasks and files.
     """
-    if families is not None:
-        known = F.col("family").isin(*families)
-        complaint = F.raise_error(F.concat(F.lit("unknown column family: "), F.col("family")))
-        cells = cells.filter(F.when(known, F.lit(True)).otherwise(complaint.cast("boolean")))
+    spark = cells.sparkSession
+    families = _property(spark, name, "families").split(",")
+    unknown = F.raise_error(F.concat(F.lit("unknown column family: "), F.col("family")))
+    known = F.when(F.col("family").isin(families), F.lit(True)).otherwise(unknown.cast("boolean"))
     (
-        cells.select(
+        cells.filter(known)
+        .select(
             F.col("row_key").cast("string"),
             "family",
             "qualifier",
             F.col("value").cast("string"),
             F.col("ts").cast("bigint"),
             F.col("seq").cast("bigint"),
-            F.lit(buckets).alias("buckets"),
-            F.pmod(F.xxhash64(F.col("row_key").cast("string")), F.lit(buckets)).cast("int").alias("row_bucket"),
+            _bucket(spark, name, F.col("row_key").cast("string")).alias("row_bucket"),
         )
         .hint("rebalance", "row_bucket")
-        .sortWithinPartitions("buckets", "row_bucket", "row_key", "family", "qualifier")
-        .write.mode("append")
-        .partitionBy("buckets", "row_bucket")
-        .parquet(path)
+        .sortWithinPartitions("row_bucket", *CELL_KEY)
+        .write.insertInto(name)
     )
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """All versions of all cells."""
-    return spark.read.schema(CELL_SCHEMA).parquet(path)
+def latest_by(frame: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row with the highest ``order`` columns for every key.
+
+    Spark keeps one row per key inside each map task before it shuffles, so many
+    versions of a single key do not end up in one task.
+    """
+    newest = Window.partitionBy(*key).orderBy(*[F.desc(name) for name in order])
+    return frame.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
 def latest_cells(cells: DataFrame) -> DataFrame:
-    """The current value of every cell."""
+    """The current value of every cell among versions of cells."""
     return latest_by(cells, CELL_KEY, ("ts", "seq")).select(*CELL_KEY, "value")
 
 
-def get_row(spark: SparkSession, path: str, row_key: str) -> DataFrame:
-    """The current cells of one row.
-
-    The number of folders stands in the path, so the folder to open is known from the
-    key alone, whatever number each write used.
-    """
-    in_bucket = F.col("row_bucket") == F.pmod(F.xxhash64(F.lit(row_key)), F.col("buckets"))
-    return latest_cells(read_cells(spark, path).filter(in_bucket & (F.col("row_key") == row_key)))
+def get_row(spark: SparkSession, name: str, row_key: str) -> DataFrame:
+    """The current cells of one row."""
+    in_bucket = F.col("row_bucket") == _bucket(spark, name, F.lit(row_key))
+    return latest_cells(spark.table(name).filter(in_bucket & (F.col("row_key") == row_key)))
 
 
-def get_value(spark: SparkSession, path: str, row_key: str, family: str, qualifier: str) -> DataFrame:
+def get_value(spark: SparkSession, name: str, row_key: str, family: str, qualifier: str) -> DataFrame:
     """The current value of one cell, or no row."""
-    return get_row(spark, path, row_key).filter((F.col("family") == family) & (F.col("qualifier") == qualifier))
+    return get_row(spark, name, row_key).filter((F.col("family") == family) & (F.col("qualifier") == qualifier))
+
+
+def _bucket(spark: SparkSession, name: str, row_key: Column) -> Column:
+    return F.pmod(F.xxhash64(row_key), F.lit(int(_property(spark, name, "buckets")))).cast("int")
+
+
+def _property(spark: SparkSession, name: str, key: str) -> str:
+    return spark.sql(f"SHOW TBLPROPERTIES {name} ('cells.{key}')").first().value

@@ -43,12 +43,14 @@ def insert_rows(frame: DataFrame, name: str) -> None:
 def load_people(spark: SparkSession, name: str, people: DataFrame | None = None) -> DataFrame:
     """Create a table ``(id, name)`` if it is missing, append people, and count all its rows.
 
-    The three sample people are taken when none are given. Every call appends.
+    ``people`` holds an id and a name; the id column takes its type from there. The three
+    sample people are taken when none are given. Every call appends.
     """
-    ensure_table(spark, name, "id INT, name STRING")
     if people is None:
+        ensure_table(spark, name, "id INT, name STRING")
         rows = ", ".join(f"({number}, '{person}')" for number, person in SAMPLE_PEOPLE)
         spark.sql(f"INSERT INTO {name} VALUES {rows}")
     else:
+        ensure_table(spark, name, f"id {people.dtypes[0][1]}, name STRING")
         insert_rows(people, name)
     return spark.sql(f"SELECT count(*) AS rowcount FROM {name}")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyworks.functions.strings import register_to_upper, split_pair, store_to_upper
 from tallyworks.operators import cells, grouping, selection, tables
@@ -240,13 +240,10 @@ def constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adhoc.run_sql(spark, "SELECT o_orderkey, 1 AS ok, to_upper('france') AS val FROM {orders}", orders=orders)
 
 
-@query(
-    """select count(*) as n, cast(count(*) * (count(*) - 1) / 2 as bigint) as id_sum
-       from lineitem"""
-)
+@query("select count(*) as n, count(*) - 1 as last_id from lineitem")
 def range_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "lineitem").count()
-    return spark.range(rows).agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
+    return spark.range(rows).agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
 
 
 @query()
@@ -254,12 +251,26 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_directory(spark, sf_dir).orderBy("path")
 
 
-@query("select distinct 'event_type=' || event_type || '/' as path, true as is_dir from events")
-def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events_in_folders(spark: SparkSession, sf_dir: str) -> str:
     root = Workspace.of(spark).path("events")
     load(spark, sf_dir, "events").write.partitionBy("event_type").parquet(root)
-    below_root = F.substring(F.col("path"), len(qualified_path(spark, root)) + 2, 2**31 - 1)
-    return list_tree(spark, root).filter("is_dir").select(below_root.alias("path"), "is_dir").orderBy("path")
+    return root
+
+
+def _without(spark: SparkSession, root: str) -> Column:
+    return F.substring(F.col("path"), len(qualified_path(spark, root)) + 2, 2**31 - 1).alias("path")
+
+
+@query("select distinct 'event_type=' || event_type as path, true as is_dir, cast(0 as bigint) as len from events")
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _events_in_folders(spark, sf_dir)
+    return list_directory(spark, root).select(_without(spark, root), "is_dir", "len")
+
+
+@query("select distinct 'event_type=' || event_type || '/' as path, true as is_dir from events")
+def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _events_in_folders(spark, sf_dir)
+    return list_tree(spark, root).filter("is_dir").select(_without(spark, root), "is_dir").orderBy("path")
 
 
 # Tables
@@ -327,7 +338,7 @@ def table_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select count(*) as rowcount from customer")
 def sample_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = Workspace.of(spark).table("people")
-    people = load(spark, sf_dir, "customer").selectExpr("cast(c_custkey as int) as id", "c_name as name")
+    people = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
     tables.drop_table(spark, table)
     return tables.load_people(spark, table, people)
 
@@ -390,7 +401,8 @@ def contains_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _put_customers(spark: SparkSession, sf_dir: str) -> str:
     """Each customer as one row of three cells, and its segment written a second time."""
-    path = Workspace.of(spark).path("cells")
+    table = Workspace.of(spark).table("cells")
+    cells.create_cell_table(spark, table, families=["cf"], buckets=16)
     first = load(spark, sf_dir, "customer").selectExpr(
         "c_custkey as row_key",
         "'cf' as family",
@@ -401,9 +413,9 @@ def _put_customers(spark: SparkSession, sf_dir: str) -> str:
     second = first.filter("qualifier = 'segment'").selectExpr(
         "row_key", "family", "qualifier", "lower(value) as value", "2 as ts", "0 as seq"
     )
-    cells.put_cells(first, path, families=["cf"], buckets=16)
-    cells.put_cells(second, path, families=["cf"], buckets=16)
-    return path
+    cells.put_cells(first, table)
+    cells.put_cells(second, table)
+    return table
 
 
 CUSTOMER_CELLS_SQL = """
@@ -419,7 +431,7 @@ def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CUSTOMER_CELLS_SQL)
 def cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells.latest_cells(cells.read_cells(spark, _put_customers(spark, sf_dir)))
+    return cells.latest_cells(spark.table(_put_customers(spark, sf_dir)))
 
 
 @query(

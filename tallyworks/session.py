@@ -15,17 +15,37 @@ DEFAULTS = {
 }
 
 
-def build_session(app_name: str = "tallyworks", master: str | None = None, **settings: str) -> SparkSession:
+MEBIBYTE = 1024**2
+GIBIBYTE = 1024**3
+
+
+def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """Partition settings for an input of a given size on a number of cores.
+
+    A scan task reads 128 MiB, and 512 MiB once that would make more than 100,000 tasks.
+    A shuffle starts with a partition per GiB of input, as the jobs aggregate before they
+    shuffle, at least two per core and at most 20,000; adaptive execution then joins the
+    small ones.
+    """
+    split = 128 if input_bytes <= 100_000 * 128 * MEBIBYTE else 512
+    partitions = min(max(2 * cores, input_bytes // GIBIBYTE), 20_000)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split * MEBIBYTE),
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
+
+
+def build_session(
+    app_name: str = "tallyworks", master: str | None = None, settings: dict[str, str] | None = None
+) -> SparkSession:
     """Get or create a session and register the SQL functions the jobs use.
 
-    ``settings`` holds extra options, with ``__`` for the dots of their names.
     The master is left to spark-submit unless it is given.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    options = DEFAULTS | {name.replace("__", "."): value for name, value in settings.items()}
-    for name, value in options.items():
+    for name, value in (DEFAULTS | (settings or {})).items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     register_to_upper(spark)

@@ -7,16 +7,16 @@ from tallyworks.storage import Workspace
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory) -> SparkSession:
-    shared = tmp_path_factory.mktemp("shared")
     session = build_session(
         "tallyworks-tests",
         "local[4]",
-        spark__checkpoint__dir=str(shared / "checkpoints"),
-        spark__sql__warehouse__dir=str(shared / "warehouse"),
-        spark__sql__shuffle__partitions="8",
-        spark__ui__enabled="false",
-        spark__ui__showConsoleProgress="false",
-        spark__driver__memory="4g",
+        {
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": "4g",
+        },
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

@@ -12,6 +12,7 @@ from tallyworks.functions.strings import split_pair
 from tallyworks.operators import cells, grouping, selection
 from tallyworks.sinks import write_lines, write_tab_text
 from tallyworks.sources import list_directory, list_tree, read_csv, read_lines, read_tab_text
+from tallyworks.storage import Workspace
 
 few = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -90,44 +91,49 @@ def test_tab_text_round_trip(spark, tmp_path_factory, pairs):
 CELLS = "row_key STRING, family STRING, qualifier STRING, value STRING, ts BIGINT, seq BIGINT"
 
 
-def test_one_cell(spark, tmp_path):
-    path = str(tmp_path / "cells")
+@pytest.fixture
+def cell_table(spark):
+    table = Workspace.of(spark).table("cells")
+    assert cells.create_cell_table(spark, table, ["cf"], buckets=16) is True
+    return table
+
+
+def test_one_cell(spark, cell_table):
     put = lambda value, ts, seq: cells.put_cells(
-        spark.createDataFrame([("row1", "cf", "field", value, ts, seq)], CELLS), path, ["cf"]
+        spark.createDataFrame([("row1", "cf", "field", value, ts, seq)], CELLS), cell_table
     )
     put("hello-cells", 1, 0)
-    assert cells.get_value(spark, path, "row1", "cf", "field").first().value == "hello-cells"
+    assert cells.get_value(spark, cell_table, "row1", "cf", "field").first().value == "hello-cells"
     put("second", 1, 1)
     put("late arrival of an old version", 0, 9)
-    assert [tuple(row) for row in cells.get_row(spark, path, "row1").collect()] == [("row1", "cf", "field", "second")]
-    assert cells.get_row(spark, path, "row2").count() == 0
+    assert [tuple(row) for row in cells.get_row(spark, cell_table, "row1").collect()] == [
+        ("row1", "cf", "field", "second")
+    ]
+    assert cells.get_row(spark, cell_table, "row2").count() == 0
+
+
+def test_creating_a_cell_table_again_keeps_it(spark, cell_table):
+    cells.put_cells(spark.createDataFrame([("r", "cf", "q", "v", 1, 0)], CELLS), cell_table)
+    assert cells.create_cell_table(spark, cell_table, ["other"], buckets=3) is False
+    assert cells.get_row(spark, cell_table, "r").first().value == "v"
 
 
-def test_an_unknown_family_fails_the_write(spark, tmp_path):
+def test_an_unknown_family_fails_the_write(spark, cell_table):
     frame = spark.createDataFrame([("r", "other", "q", "v", 1, 0)], CELLS)
     with pytest.raises(PySparkException, match="unknown column family: other"):
-        cells.put_cells(frame, str(tmp_path / "cells"), ["cf"])
-
-
-def test_writes_with_other_folder_counts_stay_readable(spark, tmp_path):
-    path = str(tmp_path / "cells")
-    for ts, buckets in enumerate([4, 7, 256]):
-        rows = [(f"r{i}", "cf", "q", f"{i}-{buckets}", ts, 0) for i in range(20)]
-        cells.put_cells(spark.createDataFrame(rows, CELLS), path, buckets=buckets)
-    for i in range(20):
-        assert cells.get_row(spark, path, f"r{i}").first().value == f"{i}-256"
-    assert cells.latest_cells(cells.read_cells(spark, path)).count() == 20
-
-
-def test_a_get_opens_one_folder(spark, tmp_path):
-    path = str(tmp_path / "cells")
-    rows = [(f"r{i}", "cf", "q", "v", 0, 0) for i in range(200)]
-    cells.put_cells(spark.createDataFrame(rows, CELLS), path, buckets=16)
-    got = cells.get_row(spark, path, "r7")
-    assert len({file.rsplit("/", 2)[1] for file in got.inputFiles()}) == 16
-    got.collect()
-    scan = re.search(r"PartitionFilters: \[[^\]]*row_bucket", got._jdf.queryExecution().toString())
-    assert scan, "the folder is not pruned"
+        cells.put_cells(frame, cell_table)
+
+
+def test_a_get_opens_one_folder(spark, cell_table):
+    rows = [(f"r{i}", "cf", "q", f"v{i}", 0, 0) for i in range(200)]
+    cells.put_cells(spark.createDataFrame(rows, CELLS), cell_table)
+    assert spark.sql(f"SHOW PARTITIONS {cell_table}").count() == 16
+    got = cells.get_row(spark, cell_table, "r7")
+    assert [row.value for row in got.collect()] == ["v7"]
+    assert all(cells.get_row(spark, cell_table, f"r{i}").count() == 1 for i in (0, 99, 199))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[isnotnull\(row_bucket#\d+\), \(row_bucket#\d+ = \d+\)\]", plan)
+    assert re.search(r"Location: \w*FileIndex\s*\(1 paths\)", plan)
 
 
 versions = st.lists(

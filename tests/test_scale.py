@@ -117,8 +117,9 @@ def test_skewed_results_are_whole(spark, skewed):
     assert all(latest[f"k{i}"] == i and counts[f"k{i}"] == 1 for i in ids if i % 3)
 
 
-def test_a_hot_row_is_written_by_several_tasks(spark, skewed, tmp_path):
-    path = str(tmp_path / "cells")
+def test_a_hot_row_is_written_by_several_tasks(spark, skewed):
+    table = Workspace.of(spark).table("cells")
+    cells.create_cell_table(spark, table, ["cf"], buckets=4)
     option = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(option)
     spark.conf.set(option, "64KB")
@@ -127,17 +128,19 @@ def test_a_hot_row_is_written_by_several_tasks(spark, skewed, tmp_path):
             "k as row_key", "'cf' as family", "cast(id as string) as qualifier", "sha2(k || id, 256) as value",
             "id as ts", "0 as seq",
         )
-        cells.put_cells(wide, path, buckets=4)
+        cells.put_cells(wide, table)
     finally:
         spark.conf.set(option, before)
-    hot = cells.read_cells(spark, path).filter("row_key = 'hot'").select("_metadata.file_path").distinct()
+    hot = spark.table(table).filter("row_key = 'hot'").select("_metadata.file_path").distinct()
     assert hot.count() > 1
-    assert cells.get_row(spark, path, "hot").count() == 20_000
+    assert cells.get_row(spark, table, "hot").count() == 20_000
+    assert cells.latest_cells(spark.table(table)).count() == 60_000
 
 
 def test_files_go_to_the_shared_folder(spark):
     work = Workspace.of(spark)
-    assert work.path("x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert work.path("x").startswith(storage.shared_folder(spark) + "/")
+    assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir", storage.shared_folder(spark))
     assert work.path("x") != work.path("x")
     table = work.table("t")
     spark.sql(f"CREATE TABLE {table} (i INT) USING parquet")
