@@ -15,7 +15,7 @@ from tallyworks.functions.strings import register_to_upper, split_pair, store_to
 from tallyworks.operators import cells, grouping, selection, tables
 from tallyworks.plans import adhoc, contract, jobs
 from tallyworks.sinks import write_csv, write_lines, write_tab_text
-from tallyworks.sources import list_directory, list_tree, read_csv, read_lines, read_tab_text
+from tallyworks.sources import list_directory, list_tree, read_csv, read_lines, read_tab_text, spread
 from tallyworks.storage import Workspace, qualified_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,7 +75,8 @@ def exposure_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
         where word <> '' group by word"""
 )
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.count_words(load(spark, sf_dir, "documents"), "text").orderBy("word")
+    texts = spread(load(spark, sf_dir, "documents").select("text"))
+    return grouping.count_words(texts, "text").orderBy("word")
 
 
 @query("select event_type, count(event_type) as cnt from events group by event_type")

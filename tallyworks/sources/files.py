@@ -37,3 +37,14 @@ def read_tab_text(spark: SparkSession, path: str, schema: str) -> DataFrame:
             for i, field in enumerate(StructType.fromDDL(schema).fields)
         ]
     )
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than there are cores.
+
+    For work that costs much more than reading, over few files or row groups. Fewer
+    splits than cores means at most ``spark.sql.files.maxPartitionBytes`` of input per
+    core, so what this shuffles is small; a larger scan is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
