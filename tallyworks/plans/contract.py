@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -22,4 +24,4 @@ def read_contract(spark: SparkSession, path: str, schema: str, strict_values: bo
     if not strict_values:
         return reader.csv(path)
     frame = reader.option("mode", "FAILFAST").csv(path)
-    return frame.observe("contract", *[F.count(name).alias(name) for name in frame.columns])
+    return frame.observe(f"contract_{uuid.uuid4().hex[:12]}", *[F.count(name).alias(name) for name in frame.columns])

@@ -22,15 +22,15 @@ GIBIBYTE = 1024**3
 def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
     """Partition settings for an input of a given size on a number of cores.
 
-    A scan task reads 128 MiB, and 512 MiB once that would make more than 100,000 tasks.
-    A shuffle starts with a partition per GiB of input, as the jobs aggregate before they
-    shuffle, at least two per core and at most 20,000; adaptive execution then joins the
-    small ones.
+    A scan task reads what makes 32 tasks per core, but 128 MiB at least and 1 GiB at
+    most. A shuffle starts with a partition per 8 GiB of input, as the jobs aggregate
+    before they shuffle, two per core at least and 20,000 at most; adaptive execution
+    then joins the small ones.
     """
-    split = 128 if input_bytes <= 100_000 * 128 * MEBIBYTE else 512
-    partitions = min(max(2 * cores, input_bytes // GIBIBYTE), 20_000)
+    split = min(max(input_bytes // (32 * cores), 128 * MEBIBYTE), GIBIBYTE)
+    partitions = min(max(input_bytes // (8 * GIBIBYTE), 2 * cores), 20_000)
     return {
-        "spark.sql.files.maxPartitionBytes": str(split * MEBIBYTE),
+        "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(partitions),
     }
 

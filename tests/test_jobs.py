@@ -161,3 +161,9 @@ def test_the_contract_holds_for_good_files(spark, folder, tmp_path):
         ("CREDIT", 50.0, False),
         ("EQUITIES", 120.0, True),
     ]
+
+
+def test_two_contracts_in_one_query(spark, folder):
+    one = read_contract(spark, folder("a.csv", POSITIONS), jobs.POSITIONS, strict_values=True)
+    two = read_contract(spark, folder("b.csv", POSITIONS), jobs.POSITIONS, strict_values=True)
+    assert one.unionByName(two).count() == one.unionByName(one).count() == 6
