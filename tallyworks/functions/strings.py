@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, SparkSession, functions as F
 
-# The white space characters that separate words; vertical tab is not one.
+# The characters that separate words, vertical tab not among them; a fixed value.
 WORD_SEPARATORS = r"[ \t\n\r\f]"
 
 

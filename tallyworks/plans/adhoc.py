@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+# How many rows a preview shows; a fixed value.
 PREVIEW_ROWS = 100
 
 

@@ -14,6 +14,7 @@ from tallyworks.plans.contract import read_contract
 from tallyworks.sinks import write_csv, write_tab_text
 from tallyworks.sources import read_csv, read_lines
 
+# The columns of the files the jobs read and write; fixed values.
 SALES = "country STRING, amount DOUBLE"
 SALES_TOTALS = "country STRING, total_amount DOUBLE"
 POSITIONS = "trade_id STRING, desk STRING, notional DOUBLE, currency STRING"
