@@ -15,14 +15,18 @@ SCHEMA = "path STRING, is_dir BOOLEAN, len BIGINT"
 
 
 def list_directory(spark: SparkSession, root: str) -> DataFrame:
-    """The entries directly below ``root``; folders have length 0. ``root`` must exist."""
+    """The entries directly below ``root``; folders have length 0.
+
+    A root that is a file is its own only entry; a missing root is an error.
+    """
     base = qualified_path(spark, root)
     rest = _below(base)
     is_dir = F.contains(rest, F.lit("/"))
+    entry = F.concat(F.lit(_prefix(base)), F.substring_index(rest, "/", 1))
     return (
         _files(spark, root)
         .select(
-            F.concat(F.lit(_prefix(base)), F.substring_index(rest, "/", 1)).alias("path"),
+            F.when(F.col("path") == base, F.col("path")).otherwise(entry).alias("path"),
             is_dir.alias("is_dir"),
             F.when(is_dir, F.lit(0)).otherwise(F.col("length")).cast("bigint").alias("len"),
         )

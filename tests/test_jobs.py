@@ -139,6 +139,13 @@ def test_a_renamed_column_no_query_uses_breaks_the_contract(spark, folder):
         grouping.count_rows(frame).collect()
 
 
+@pytest.mark.parametrize("extra", ["desk,trade_id", "trade_id,desk,notional,currency,book"])
+def test_missing_or_added_columns_break_the_contract(spark, folder, extra):
+    source = folder("positions.csv", f"{extra}\n" + ",".join("1" for _ in extra.split(",")) + "\n")
+    with pytest.raises(Py4JJavaError, match="CSV header"):
+        read_contract(spark, source, jobs.POSITIONS).collect()
+
+
 def test_one_drifted_file_of_many_breaks_the_contract(spark, folder, tmp_path):
     folder("in/a.csv", POSITIONS)
     folder("in/b.csv", SWAPPED)

@@ -179,6 +179,12 @@ def test_listing_a_missing_folder(spark, tmp_path):
         list_directory(spark, str(tmp_path / "nowhere"))
 
 
+def test_listing_a_file(spark, folder):
+    path = folder("one.txt", "bonjour rest")
+    for listed in (list_directory(spark, path), list_tree(spark, path)):
+        assert [tuple(row) for row in listed.collect()] == [(f"file:{path}", False, 12)]
+
+
 def test_listing_an_empty_folder(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     assert list_tree(spark, str(tmp_path / "empty")).count() == 0
