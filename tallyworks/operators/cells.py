@@ -37,8 +37,7 @@ def put_cells(cells: DataFrame, name: str) -> None:
     by folder; adaptive execution splits a folder holding far more than the others over
     several tasks and files.
     """
-    spark = cells.sparkSession
-    families = _property(spark, name, "families").split(",")
+    families, buckets = _layout(cells.sparkSession, name)
     unknown = F.raise_error(F.concat(F.lit("unknown column family: "), F.col("family")))
     known = F.when(F.col("family").isin(families), F.lit(True)).otherwise(unknown.cast("boolean"))
     (
@@ -50,7 +49,7 @@ def put_cells(cells: DataFrame, name: str) -> None:
             F.col("value").cast("string"),
             F.col("ts").cast("bigint"),
             F.col("seq").cast("bigint"),
-            _bucket(spark, name, F.col("row_key").cast("string")).alias("row_bucket"),
+            _bucket(F.col("row_key").cast("string"), buckets).alias("row_bucket"),
         )
         .hint("rebalance", "row_bucket")
         .sortWithinPartitions("row_bucket", *CELL_KEY)
@@ -75,7 +74,8 @@ def latest_cells(cells: DataFrame) -> DataFrame:
 
 def get_row(spark: SparkSession, name: str, row_key: str) -> DataFrame:
     """The current cells of one row."""
-    in_bucket = F.col("row_bucket") == _bucket(spark, name, F.lit(row_key))
+    _, buckets = _layout(spark, name)
+    in_bucket = F.col("row_bucket") == _bucket(F.lit(row_key), buckets)
     return latest_cells(spark.table(name).filter(in_bucket & (F.col("row_key") == row_key)))
 
 
@@ -84,9 +84,11 @@ def get_value(spark: SparkSession, name: str, row_key: str, family: str, qualifi
     return get_row(spark, name, row_key).filter((F.col("family") == family) & (F.col("qualifier") == qualifier))
 
 
-def _bucket(spark: SparkSession, name: str, row_key: Column) -> Column:
-    return F.pmod(F.xxhash64(row_key), F.lit(int(_property(spark, name, "buckets")))).cast("int")
+def _bucket(row_key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(row_key), F.lit(buckets)).cast("int")
 
 
-def _property(spark: SparkSession, name: str, key: str) -> str:
-    return spark.sql(f"SHOW TBLPROPERTIES {name} ('cells.{key}')").first().value
+def _layout(spark: SparkSession, name: str) -> tuple[list[str], int]:
+    """The column families and the number of folders a cell table was created with."""
+    properties = {row.key: row.value for row in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    return properties["cells.families"].split(","), int(properties["cells.buckets"])
