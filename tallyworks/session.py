@@ -6,7 +6,9 @@ from pyspark.sql import SparkSession
 
 from tallyworks.functions.strings import register_to_upper
 
+# ANSI mode is off: SQL written for Spark 3 expects null where a cast has no value.
 DEFAULTS = {
+    "spark.sql.ansi.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

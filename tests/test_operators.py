@@ -60,8 +60,8 @@ def test_rows_with_and_has_value(spark):
     frame = spark.createDataFrame([("FR", 1), ("DE", 2), (None, 3)], "c STRING, n INT")
     assert [row.n for row in selection.rows_with(frame, "c", "FR").collect()] == [1]
     assert {row.n for row in selection.rows_with(frame, "c", "FR", "DE").collect()} == {1, 2}
-    assert selection.has_value(frame, "c", "DE").first().found is True
-    assert selection.has_value(frame, "c", "IT").first().found is False
+    assert selection.has_value(frame, "c", "DE") is True
+    assert selection.has_value(frame, "c", "IT") is False
 
 
 def test_untyped_csv_is_all_strings(spark, folder):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registry
 from tallyworks import storage
 from tallyworks.operators import cells, grouping
+from tallyworks.sources import spread
 from tallyworks.storage import Workspace
 
 DATA = "/root/testdata/sf0.001"
@@ -67,7 +68,10 @@ def test_groups_are_aggregated_before_the_shuffle(spark, name):
 
 def test_filters_reach_the_scan(spark):
     assert "EqualTo(o_orderpriority,1-URGENT)" in plan(registry.queries()["total_for_key"](spark, DATA))
-    assert "EqualTo(p_name,red widget)" in plan(registry.queries()["contains_value"](spark, DATA))
+    before = executions(spark)
+    registry.queries()["contains_value"](spark, DATA)
+    (looked,) = [text for number, text in executions(spark).items() if number not in before]
+    assert "EqualTo(p_name,red widget)" in looked and "Limit" in looked
 
 
 def test_versions_are_cut_before_the_shuffle(spark):
@@ -116,6 +120,22 @@ def test_a_hot_key_shuffles_one_row_per_task(spark, skewed):
         assert shuffled_rows(frame) <= 2 * skewed.rdd.getNumPartitions()
 
 
+def test_a_hot_word_shuffles_one_row_per_task(spark, skewed):
+    texts = skewed.select(F.concat_ws(" ", F.lit("the the"), "k", F.lit("the")).alias("value"))
+    counted = grouping.count_words(texts)
+    tasks, others = skewed.rdd.getNumPartitions(), 40_000
+    assert shuffled_rows(counted) <= others + 2 * tasks
+    assert {row.word: row.cnt for row in counted.collect() if row.cnt > 1} == {"the": 180_000, "hot": 20_000}
+
+
+def test_a_small_scan_is_spread_and_a_large_one_is_left(spark, skewed):
+    cores = spark.sparkContext.defaultParallelism
+    one_file = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert one_file.rdd.getNumPartitions() < cores == spread(one_file).rdd.getNumPartitions()
+    many = spark.range(100, numPartitions=cores + 1)
+    assert spread(many) is many
+
+
 def test_skewed_results_are_whole(spark, skewed):
     ids = range(60_000)
     counts = {row.k: row.cnt for row in grouping.count_by(skewed, "k").collect()}

@@ -115,3 +115,7 @@ def test_blank_sql_is_refused(spark, sql):
 def test_sql_over_given_frames(spark, three_rows):
     result = adhoc.run_sql(spark, "SELECT s FROM {letters} WHERE i > 1 ORDER BY i", letters=three_rows)
     assert [list(row) for row in result.collect()] == [["y"], ["z"]]
+
+
+def test_a_cast_without_value_is_null(spark):
+    assert adhoc.preview(spark, "SELECT CAST('abc' AS INT) AS n, element_at(array(1), 2) AS e").data == [[None, None]]
