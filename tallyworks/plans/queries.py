@@ -408,7 +408,8 @@ def _put_customers(spark: SparkSession, sf_dir: str) -> str:
     first = load(spark, sf_dir, "customer").selectExpr(
         "c_custkey as row_key",
         "'cf' as family",
-        "stack(3, 'name', c_name, 'nation', cast(c_nationkey as string), 'segment', c_mktsegment) as (qualifier, value)",
+        "stack(3, 'name', c_name, 'nation', cast(c_nationkey as string), 'segment', c_mktsegment)"
+        " as (qualifier, value)",
         "1 as ts",
         "0 as seq",
     )

@@ -72,7 +72,9 @@ class Workspace:
             self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
         hadoop_path, fs = _file_system(self.spark, self.root)
         fs.delete(hadoop_path, True)
-        self._open.pop(self.spark.sparkContext.applicationId, None)
+        for application, workspace in list(self._open.items()):
+            if workspace is self:
+                del self._open[application]
 
 
 def _file_system(spark: SparkSession, path: str):

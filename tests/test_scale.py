@@ -206,7 +206,7 @@ def test_a_cluster_must_name_the_shared_folder(spark):
 
 
 def test_closing_a_workspace_removes_what_it_wrote(spark):
-    work = Workspace(spark)
+    work, shared = Workspace(spark), Workspace.of(spark)
     path, table = work.path("x"), work.table("t")
     spark.range(3).write.parquet(path)
     spark.sql(f"CREATE TABLE {table} (i INT) USING parquet")
@@ -214,3 +214,4 @@ def test_closing_a_workspace_removes_what_it_wrote(spark):
     work.close()
     assert not storage.path_exists(spark, work.root)
     assert not spark.catalog.databaseExists(work.name)
+    assert Workspace.of(spark) is shared
