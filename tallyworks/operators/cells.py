@@ -16,10 +16,15 @@ CELL_KEY = ("row_key", "family", "qualifier")
 CELL_COLUMNS = "row_key STRING, family STRING, qualifier STRING, value STRING, ts BIGINT, seq BIGINT"
 
 
+def buckets_for(expected_cells: int) -> int:
+    """Folders of about ten million cells each, four at least and 10,000 at most."""
+    return min(max(expected_cells // 10_000_000, 4), 10_000)
+
+
 def create_cell_table(spark: SparkSession, name: str, families: Sequence[str], buckets: int = 256) -> bool:
     """Create a table for cells of the given column families unless it exists; true when created.
 
-    ``buckets`` is the number of folders. A few gigabytes in each is a good size.
+    ``buckets`` is the number of folders; ``buckets_for`` gives one for an expected size.
     """
     missing = not spark.catalog.tableExists(name)
     spark.sql(

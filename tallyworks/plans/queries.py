@@ -403,9 +403,9 @@ def contains_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _put_customers(spark: SparkSession, sf_dir: str) -> str:
     """Each customer as one row of three cells, and its segment written a second time."""
-    table = Workspace.of(spark).table("cells")
-    cells.create_cell_table(spark, table, families=["cf"], buckets=16)
-    first = load(spark, sf_dir, "customer").selectExpr(
+    table, customer = Workspace.of(spark).table("cells"), load(spark, sf_dir, "customer")
+    cells.create_cell_table(spark, table, families=["cf"], buckets=cells.buckets_for(4 * customer.count()))
+    first = customer.selectExpr(
         "c_custkey as row_key",
         "'cf' as family",
         "stack(3, 'name', c_name, 'nation', cast(c_nationkey as string), 'segment', c_mktsegment)"

@@ -98,6 +98,11 @@ def cell_table(spark):
     return table
 
 
+@pytest.mark.parametrize("expected, buckets", [(0, 4), (10**9, 100), (10**12, 10_000)])
+def test_folders_follow_the_size(expected, buckets):
+    assert cells.buckets_for(expected) == buckets
+
+
 def test_one_cell(spark, cell_table):
     put = lambda value, ts, seq: cells.put_cells(
         spark.createDataFrame([("row1", "cf", "field", value, ts, seq)], CELLS), cell_table
