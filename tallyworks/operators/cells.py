@@ -17,8 +17,8 @@ CELL_COLUMNS = "row_key STRING, family STRING, qualifier STRING, value STRING, t
 
 
 def buckets_for(expected_cells: int) -> int:
-    """Folders of about ten million cells each, four at least and 10,000 at most."""
-    return min(max(expected_cells // 10_000_000, 4), 10_000)
+    """Folders of about ten million cells each, 16 at least and 10,000 at most."""
+    return min(max(expected_cells // 10_000_000, 16), 10_000)
 
 
 def create_cell_table(spark: SparkSession, name: str, families: Sequence[str], buckets: int = 256) -> bool:

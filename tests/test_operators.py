@@ -98,7 +98,7 @@ def cell_table(spark):
     return table
 
 
-@pytest.mark.parametrize("expected, buckets", [(0, 4), (10**9, 100), (10**12, 10_000)])
+@pytest.mark.parametrize("expected, buckets", [(0, 16), (10**9, 100), (10**12, 10_000)])
 def test_folders_follow_the_size(expected, buckets):
     assert cells.buckets_for(expected) == buckets
 
