@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyworks.llm.tasks import SEPARATORS, WORD, text_or_empty
+from tallyworks.llm.tasks import SEPARATORS, WORD
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,7 +35,8 @@ def line_rows(docs: DataFrame) -> DataFrame:
         lambda row: row["line"] != "",
     )
     return (
-        docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.explode(lines).alias("row"))
+        docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.explode_outer(lines).alias("row"))
+        .filter(F.col("row").isNotNull())
         .select(
             "doc_id",
             "source",
@@ -74,8 +75,3 @@ def without_lines(docs: DataFrame, cut: DataFrame) -> DataFrame:
         F.coalesce("c.cut_words", F.lit(0)).alias("cut_words"),
     )
 
-
-def base_columns(text: Column | None = None) -> dict[str, Column]:
-    """The text without null, and its words."""
-    whole = text_or_empty() if text is None else text
-    return {"_text": whole, "_words": words_in(whole)}

@@ -51,7 +51,7 @@ def position(schedule: Schedule, share: Column) -> Column:
 
 
 def targets(sizes: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, most: int = MOST_REPEATS) -> DataFrame:
-    """``source, source_size, cycle, target`` from ``source, source_size``, one row per source.
+    """Adds ``cycle`` and ``target`` to a table with one row per source and its ``source_size``.
 
     Sources are ordered by code point with null last; the place in that order, modulo the number of
     schedules, is ``cycle``. All sizes together are shared by weight. No target is above ``most`` times its
@@ -82,91 +82,85 @@ def targets(sizes: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, most: i
     return placed.withColumn("target", ceiling if full else F.least(ceiling, share)).drop("_weight")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size`` with the number of words as size; null text has none."""
+def _keyed(docs: DataFrame, parts: int, seed: int) -> DataFrame:
+    """Adds a source that is never null, the size, the place in the seeded order and the part."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.select("doc_id", "source", size.alias("size"))
+    held = docs.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("_size", size)
+    held = held.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "_size"))
+    return held.withColumn("_part", F.pmod("_order", F.lit(parts)).cast("int"))
 
 
-def mix(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, most: int = MOST_REPEATS, seed: int = SEED, parts: int = PARTS) -> DataFrame:
-    """Every document with how often the mix takes it and when, range-sorted by first position.
+def _facts(sizes: DataFrame, schedules: Sequence[Schedule], most: int) -> DataFrame:
+    """``_key, _part, _start, source_size, cycle, target``: what every part of a source has to know."""
+    part_sizes = sizes.groupBy("_key", "_part").agg(F.first("source").alias("source"), F.sum("_size").alias("_part_size"))
+    part_sizes = written(part_sizes, "part_sizes")
+    totals = part_sizes.groupBy("_key").agg(F.first("source").alias("source"), F.sum("_part_size").alias("source_size"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = part_sizes.select("_key", "_part", F.coalesce(F.sum("_part_size").over(before), F.lit(0)).alias("_start"))
+    return starts.join(targets(totals, schedules, most).drop("source"), "_key")
 
-    Columns: ``doc_id, source, size, source_size, target, copies, taken, positions``; ``positions``
-    has the training time, 0 to 1, of every copy. A document is taken whole; the last one of a source is
-    taken if that comes nearer to the target. Documents without words are taken with their
-    neighbours and add nothing. Null source is a source; a null ``doc_id`` is a document; equal rows are
-    told apart by nothing, so any of them may be the one that is taken. Same rows and seed, same mix. An
-    empty table gives an empty one.
 
-    Each source is cut into ``parts`` by a seeded hash, and within a part the order is the hash, so
-    that no task has to sum a whole source.
-    """
-    rows = sized(docs)
-    mixed = F.xxhash64(F.lit(seed), "doc_id", "size")
-    keyed = written(rows.withColumn("_order", mixed).withColumn("_part", F.pmod("_order", F.lit(parts)).cast("int")), "sizes")
-    part_sizes = keyed.groupBy("source", "_part").agg(F.sum("size").alias("_part_size"))
-    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    per_source = targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), schedules, most)
-    starts = part_sizes.withColumn("_start", F.coalesce(F.sum("_part_size").over(before), F.lit(0))).alias("p")
-    facts = starts.join(per_source.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select(
-        "p.source", "p._part", "p._start", "s.source_size", "s.cycle", "s.target"
-    )
+def _scheduled(rows: DataFrame, facts: DataFrame, schedules: Sequence[Schedule], most: int) -> DataFrame:
+    """Adds ``source_size, target, copies, positions`` to rows that ``_keyed`` prepared."""
     inside = (
-        Window.partitionBy("source", "_part").orderBy("_order", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    run = keyed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
-    on = F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d._part") == F.col("f._part"))
-    joined = run.join(facts.alias("f"), on).select(
-        "d.doc_id", "d.source", "d.size", "f.source_size", "f.target", "f.cycle", (F.col("f._start") + F.col("d._inside")).alias("_before")
+        Window.partitionBy("_key", "_part").orderBy("_order", F.col("doc_id").asc_nulls_last(), "_size").rowsBetween(Window.unboundedPreceding, -1)
     )
+    run = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    joined = run.join(facts, ["_key", "_part"]).withColumn("_before", F.col("_start") + F.col("_inside"))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    joined = joined.withColumn("_rounds", rounds.cast("int"))
     rest = F.col("target") - F.col("_rounds") * F.col("source_size")
-    counted = joined.withColumn("_rounds", rounds.cast("int")).withColumn(
-        "copies",
-        F.least(F.col("_rounds") + (F.col("_before") + F.col("size") / 2 <= rest).cast("int") * (rest > 0).cast("int"), F.lit(most)).cast("int"),
-    )
-    share = lambda number: (number * F.col("source_size") + F.col("_before")) / F.col("target")
-    at = F.lit(None).cast("double")
+    nearer = (rest > 0) & (F.col("_before") + F.col("_size") / 2 <= rest)
+    joined = joined.withColumn("copies", F.least(F.col("_rounds") + nearer.cast("int"), F.lit(most)).cast("int"))
     numbers = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>"))
 
-    def when(number: Column) -> Column:
-        found = at
+    def at(number: Column) -> Column:
+        share = F.when(F.col("target") > 0, (number * F.col("source_size") + F.col("_before")) / F.col("target")).otherwise(F.lit(0.0))
+        found = F.lit(None).cast("double")
         for cycle, schedule in enumerate(schedules):
-            found = F.when(F.col("cycle") == cycle, position(schedule, share(number))).otherwise(found)
+            found = F.when(F.col("cycle") == cycle, position(schedule, share)).otherwise(found)
         return found
 
-    placed = counted.select(
+    return joined.withColumn("positions", F.transform(numbers, at))
+
+
+def mix(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, most: int = MOST_REPEATS, seed: int = SEED, parts: int = PARTS) -> DataFrame:
+    """Every document with how often the mix takes it and when, range-sorted by first position.
+
+    Columns: ``doc_id, source, size, source_size, target, copies, taken, positions``; ``positions``
+    has the training time, 0 to 1, of every copy. ``size`` is the number of words, none for null text. A
+    document is taken whole; the last one of a source is taken if that comes nearer to the target.
+    Documents without words are taken with their neighbours and add nothing. Null source is a source; a null
+    ``doc_id`` is a document; of equal rows any may be the one that is taken. Same rows and seed,
+    same mix. An empty table gives an empty one.
+
+    Each source is cut into ``parts`` by a seeded hash, and within a part the order is the hash, so
+    that no task has to sum a whole source.
+    """
+    sizes = written(_keyed(docs.select("doc_id", "source", "text"), parts, seed).drop("text"), "sizes")
+    placed = _scheduled(sizes, _facts(sizes, schedules, most), schedules, most).select(
         "doc_id",
         "source",
-        "size",
+        F.col("_size").alias("size"),
         "source_size",
         "target",
         "copies",
-        (F.col("size") * F.col("copies")).alias("taken"),
-        F.transform(numbers, when).alias("positions"),
+        (F.col("_size") * F.col("copies")).alias("taken"),
+        "positions",
     )
     first = F.get("positions", F.lit(0))
     return placed.repartitionByRange(partitions(docs.sparkSession), first, "doc_id").sortWithinPartitions(first, "doc_id")
 
 
-def stream(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The documents as training reads them: a row per copy with its ``position``, range-sorted by it.
+def stream(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, most: int = MOST_REPEATS, seed: int = SEED, parts: int = PARTS) -> DataFrame:
+    """The mix as training reads it: a row per copy, all columns of ``docs``, range-sorted by training position.
 
-    ``plan`` is what ``mix`` gave for the same documents. Rows that share a ``doc_id``, ``source`` and
-    size share their copies, so equal rows are numbered on both sides and matched one to one.
+    Takes what ``mix`` takes. ``position`` is added, or replaced where ``docs`` has one.
     """
-    key = ["doc_id", "source", "_size"]
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    left = docs.withColumn("_size", size).withColumn("_number", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
-    ranked = Window.partitionBy("doc_id", "source", "size").orderBy("copies", "positions")
-    right = plan.select("doc_id", "source", "size", "positions", F.row_number().over(ranked).alias("_number"))
-    on = (
-        F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))
-        & F.col("d.source").eqNullSafe(F.col("m.source"))
-        & (F.col("d._size") == F.col("m.size"))
-        & (F.col("d._number") == F.col("m._number"))
-    )
-    copies = left.alias("d").join(right.alias("m"), on).select(
-        *[F.col(f"d.`{name}`") for name in docs.columns if name != "position"], F.explode("m.positions").alias("position")
-    )
-    return copies.repartitionByRange(partitions(docs.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    own = F.struct(*[F.col(f"`{name}`") for name in docs.columns if name != "position"])
+    rows = _keyed(docs.select("doc_id", "source", "text", own.alias("_row")), parts, seed)
+    sizes = written(rows.select("_key", "_part", "source", "_size"), "sizes")
+    placed = _scheduled(rows.drop("text", "source"), _facts(sizes, schedules, most), schedules, most)
+    copies = placed.select("doc_id", "_row", F.explode("positions").alias("position"))
+    dealt = copies.repartitionByRange(partitions(docs.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return dealt.select("_row.*", "position")

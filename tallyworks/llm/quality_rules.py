@@ -65,16 +65,24 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """The documents with the measures of each text alone, and ``base_failed``."""
-    columns = docs.columns
-    split = docs.withColumn("_text", text_or_empty()).withColumn("_words", words_in(F.col("_text")))
-    lines = F.filter(F.split("_text", "\n"), lambda line: F.regexp_like(line, F.lit("[^\\x20\\x09-\\x0D]")))
-    found = split.select(
-        *columns,
-        F.size("_words").cast("bigint").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
-        F.regexp_count("_text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+    # One expression from words to measures: the optimizer may move it, but no part of it is computed per word.
+    text = text_or_empty()
+    lines = F.filter(F.split(text, "\n"), lambda line: F.regexp_like(line, F.lit("[^\\x20\\x09-\\x0D]")))
+
+    def of_words(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("bigint").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
+            repeated_words(words).alias("n_repeat_words"),
+        )
+
+    found = docs.withColumn("_measures", let(words_in(text), of_words)).select(
+        *docs.columns,
+        F.col("_measures.n_words").alias("n_words"),
+        F.col("_measures.word_chars").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         let(lines, lambda held: F.size(held) - F.size(F.array_distinct(held))).cast("bigint").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
+        F.col("_measures.n_repeat_words").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return found.withColumn("base_failed", failed)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyworks.llm import chat, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, warc
+from tallyworks.llm import chat, line_dedup, mixing, nearest, ngram_join, packing, quality_model, quality_rules, sharding, warc
 from tallyworks.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +174,17 @@ def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(load(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    learned = labels.filter(quality_model.fold(F.col("doc_id")) != 0)
+    scored = quality_model.score(docs, quality_model.train(docs, learned))
+    held_out = F.coalesce(quality_model.fold(F.col("doc_id")) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(load(spark, sf_dir, "embeddings"))
