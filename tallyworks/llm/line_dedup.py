@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallyworks.llm.lines import line_rows, without_lines
+from tallyworks.llm.tasks import written
 
 # Distinct sites that make a line boilerplate, and the words a line has at least.
 MIN_SITES = 10
@@ -50,7 +51,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     lines and stays null. Repeated rows are cut alike. An empty table gives an empty one.
     """
     docs = docs.select(*[name for name in docs.columns if name not in {"clean_text", "cut_lines", "cut_words", "emptied"}])
-    rows = line_rows(docs).filter(F.col("line_words") >= min_words)
+    rows = written(line_rows(docs).filter(F.col("line_words") >= min_words), "lines")
     spread = spread_lines(rows, min_sites)
     first = F.col("first")
     elsewhere = ~(

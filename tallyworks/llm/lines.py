@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyworks.llm.tasks import SEPARATORS, WORD
+from tallyworks.llm.tasks import SEPARATORS
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,9 +20,9 @@ def words_in(text: Column) -> Column:
 
 
 def normalised(line: Column) -> Column:
-    """A line as it is compared: A-Z lowered, digits as 0, runs of separators as one blank, none at the ends."""
-    letters = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
-    return F.trim(F.regexp_replace(letters, SEPARATORS + "+", " "))
+    """A line as it is compared: in lower case, runs of separators as one blank, none at the ends."""
+    runs = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+    return F.trim(F.regexp_replace(F.lower(line), runs, " "))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
             "text_hash",
             F.col("row.at").alias("position"),
             F.xxhash64("row.line").alias("line_hash"),
-            F.regexp_count("row.line", F.lit(WORD)).alias("line_words"),
+            (F.octet_length("row.line") - F.octet_length(F.replace(F.col("row.line"), F.lit(" "), F.lit(""))) + 1).alias("line_words"),
         )
     )
 

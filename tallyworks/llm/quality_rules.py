@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyworks.llm.lines import let, line_rows, without_lines, words_in
-from tallyworks.llm.tasks import text_or_empty
+from tallyworks.llm.tasks import text_or_empty, written
 
 # A line is boilerplate of a host when it is in so many of the host's distinct texts, and in such a share of them.
 MIN_TEXTS = 10
@@ -27,13 +27,20 @@ SYMBOLS = "[#*$%&|<>]"
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """How many words lie in a window of ``width`` words that occurs twice or more in the text.
 
-    Windows are compared by hash. Where one repeats, they are sorted by it; neighbours then give the
+    ``width`` is a power of two. Windows are compared by hash. Where one repeats, they are sorted by it; neighbours then give the
     places of all repeated windows, and one pass over the places counts the words they cover.
     """
-    hashes = F.when(
-        F.size(words) >= width,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda at: F.xxhash64(F.slice(words, at, width))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    def joined(hashes: Column, step: int) -> Column:
+        return F.transform(hashes, lambda value, at: F.xxhash64(value, F.get(hashes, at + step)))
+
+    # Hashes of one word make hashes of two, those of four, and so on.
+    hashes, step = F.transform(words, lambda word: F.xxhash64(word)), 1
+    while step < width:
+        hashes = let(hashes, lambda held, step=step: joined(held, step))
+        step *= 2
+    hashes = F.when(F.size(words) >= width, F.slice(hashes, F.lit(1), F.size(words) - (width - 1))).otherwise(
+        F.array().cast("array<bigint>")
+    )
 
     def places(ordered: Column) -> Column:
         def own(row: Column, at: Column) -> Column:
@@ -110,7 +117,7 @@ def quality_rules(docs: DataFrame, min_texts: int = MIN_TEXTS, min_share: float
     """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "cut_lines", "cut_words", "kept"}
     docs = docs.select(*[name for name in docs.columns if name not in made])
-    rows = line_rows(docs)
+    rows = written(line_rows(docs), "lines")
     lines, frequent = rows.alias("r"), host_boilerplate(rows, min_texts, min_share).alias("f")
     cut = lines.join(
         frequent,

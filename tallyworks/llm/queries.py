@@ -87,8 +87,7 @@ LINES_SQL = r"""
       from documents),
     lines as (
       select doc_id, source, text, position,
-             trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
-                                 '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as line
+             trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as line
       from numbered),
     worded as (select *, len(string_split(line, ' ')) as line_words from lines where line <> '')"""
 
