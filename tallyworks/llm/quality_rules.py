@@ -27,20 +27,13 @@ SYMBOLS = "[#*$%&|<>]"
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """How many words lie in a window of ``width`` words that occurs twice or more in the text.
 
-    ``width`` is a power of two. Windows are compared by hash. Where one repeats, they are sorted by it; neighbours then give the
+    Windows are compared by hash. Where one repeats, they are sorted by it; neighbours then give the
     places of all repeated windows, and one pass over the places counts the words they cover.
     """
-    def joined(hashes: Column, step: int) -> Column:
-        return F.transform(hashes, lambda value, at: F.xxhash64(value, F.get(hashes, at + step)))
-
-    # Hashes of one word make hashes of two, those of four, and so on.
-    hashes, step = F.transform(words, lambda word: F.xxhash64(word)), 1
-    while step < width:
-        hashes = let(hashes, lambda held, step=step: joined(held, step))
-        step *= 2
-    hashes = F.when(F.size(words) >= width, F.slice(hashes, F.lit(1), F.size(words) - (width - 1))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    hashes = F.when(
+        F.size(words) >= width,
+        F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda at: F.xxhash64(*[F.get(words, at + step) for step in range(width)])),
+    ).otherwise(F.array().cast("array<bigint>"))
 
     def places(ordered: Column) -> Column:
         def own(row: Column, at: Column) -> Column:
