@@ -177,11 +177,23 @@ def shared_in_pools(docs: DataFrame, words: int, percent: int) -> DataFrame:
         found, counts = np.unique(owners[shared], return_counts=True)
         both = np.concatenate((found, _read(table["local_owners"], "<i8")))
         numbers = np.concatenate((counts.astype(np.int64), _read(table["local_counts"], "<i8")))
-        return pa.table({"first": both, "shared": numbers})
+        order, at = _dealt(mixed(both.view(U8)), buckets)
+        made = [
+            (target, both[order[begin:end]].tobytes(), numbers[order[begin:end]].tobytes())
+            for target, (begin, end) in enumerate(zip(at[:-1], at[1:]))
+            if end > begin
+        ]
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(column, kind) for column, kind in zip(list(zip(*made)) or [()] * 3, kinds)], ["target", "found", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        owners, back = np.unique(_read(table["found"], "<i8"), return_inverse=True)
+        totals = np.bincount(back, _read(table["counts"], "<i8"), len(owners)).astype(np.int64)
+        return pa.table({"first": owners, "shared": totals})
 
     dealt = _input(docs).mapInArrow(pools, "bucket INT, " + ", ".join(f"{name} BINARY" for name in names[1:]))
-    counted = dealt.groupBy("bucket").applyInArrow(count, "first BIGINT, shared BIGINT")
-    return counted.groupBy("first").agg(F.sum("shared").alias("shared"))
+    counted = dealt.groupBy("bucket").applyInArrow(count, "target INT, found BINARY, counts BINARY")
+    return counted.groupBy("target").applyInArrow(add, "first BIGINT, shared BIGINT")
 
 
 # Step 2: blocks
