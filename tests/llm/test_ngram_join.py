@@ -1,0 +1,134 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tallyworks.llm import graph, ngram_join
+from tallyworks.llm.hashing import shingle_sets
+
+DATA = "/root/testdata/sf0.001"
+
+
+def shingles(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    if len(words) < size:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+
+
+def brute_force(rows, size, percent):
+    """``{(doc_id, n_shingles, component_id)}`` by comparing every two documents that share a shingle."""
+    sets = [(doc_id, shingles(text, size)) for doc_id, text in rows]
+    parent = {doc_id: doc_id for doc_id, _ in sets if doc_id is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    lists = defaultdict(list)
+    for at, (doc_id, found) in enumerate(sets):
+        if doc_id is not None:
+            for one in found:
+                lists[one].append(at)
+    for at, (doc_id, found) in enumerate(sets):
+        if doc_id is None:
+            continue
+        for other, common in Counter(b for one in found for b in lists[one] if b > at).items():
+            if 100 * common >= percent * (len(found) + len(sets[other][1]) - common):
+                a, b = sorted((root(doc_id), root(sets[other][0])))
+                parent[b] = a
+    return sorted(((doc_id, len(found), None if doc_id is None else root(doc_id)) for doc_id, found in sets), key=str)
+
+
+def result(frame):
+    return sorted(((row.doc_id, row.n_shingles, row.component_id) for row in frame.collect()), key=str)
+
+
+def test_sets_are_those_of_the_words(odd_rows):
+    texts = [text for _, text, _ in odd_rows]
+    for size in (2, 4):
+        found = [len(one) for one in shingle_sets(pa.array(texts, pa.string()), size)]
+        assert found == [len(shingles(text, size)) for text in texts]
+    a, b = shingle_sets(pa.array(["A b C d e", "a B c D E"]), 4)
+    assert np.array_equal(a, b)
+
+
+@pytest.mark.parametrize("size, percent", [(4, 85), (5, 80), (2, 50)])
+def test_components_are_those_of_brute_force(spark, size, percent):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(row.doc_id, row.text) for row in docs.collect()]
+    assert result(ngram_join.ngram_join(docs, size, percent)) == brute_force(rows, size, percent)
+
+
+def edited(draw, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[draw.randrange(len(words))] = f"e{draw.randrange(10**6)}"
+    return " ".join(words)
+
+
+def planted(count=150):
+    """Near copies of some texts in growing distance, chains among them, and a passage that unrelated texts share."""
+    draw = random.Random(7)
+    rows = []
+    passage = [f"p{i}" for i in range(60)]
+    for base in range(5):
+        words = [f"w{draw.randrange(400)}" for _ in range(120)]
+        for _ in range(count // 10):
+            rows.append(edited(draw, words, draw.randrange(6)))
+    for _ in range(count // 2):
+        rows.append(" ".join(passage + [f"u{draw.randrange(10**6)}" for _ in range(draw.randrange(4, 60))]))
+    return [(1000 + at, text) for at, text in enumerate(rows)] + [(1, rows[0]), (2, rows[0])]
+
+
+@pytest.mark.parametrize("part", [1 << 22, 2000])
+def test_planted_copies_with_whole_and_split_blocks(spark, documents, part):
+    rows = planted()
+    docs = documents([(doc_id, text, "a") for doc_id, text in rows])
+    expected = brute_force(rows, 4, 85)
+    assert 1 < len({component for _, _, component in expected}) < len(rows)
+    assert result(ngram_join.ngram_join(docs, 4, 85, part=part)) == expected
+
+
+def test_odd_rows(odd, odd_rows):
+    expected = brute_force([(doc_id, text) for doc_id, text, _ in odd_rows], 4, 85)
+    assert result(ngram_join.ngram_join(odd, 4, 85)) == expected
+
+
+def test_no_rows(nothing):
+    assert ngram_join.ngram_join(nothing).collect() == []
+
+
+def test_merge_skip_finds_what_counting_finds():
+    draw = random.Random(3)
+    for _ in range(200):
+        lists = [sorted(draw.sample(range(40), draw.randrange(1, 25))) for _ in range(draw.randrange(1, 9))]
+        counts = Counter(x for held in lists for x in held)
+        for need in range(1, len(lists) + 1):
+            assert list(ngram_join.merge_skip(lists, need)) == sorted((x, n) for x, n in counts.items() if n >= need)
+            assert list(ngram_join.divided(lists, need, lambda x: need, lambda x: True)) == sorted(x for x, n in counts.items() if n >= need)
+
+
+def test_similar_sets_share_what_pools_promise():
+    draw = np.random.default_rng(1)
+    for _ in range(300):
+        size = int(draw.integers(1, 120))
+        common = draw.choice(10**6, size, replace=False)
+        cut = int(draw.integers(0, size // 6 + 1))
+        a, b = np.sort(common), np.sort(np.concatenate((common[cut:], 10**6 + draw.choice(10**6, int(draw.integers(0, cut + 1)), replace=False))))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 85 * (len(a) + len(b) - both):
+            pools = [set(x[: ngram_join.pool_size(len(x), 85)].tolist()) for x in (a, b)]
+            assert len(pools[0] & pools[1]) >= max(ngram_join.pool_need(len(x), 85) for x in (a, b))
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (None, 3), (201, 200)]
+    found = graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    expected = {i: 0 for i in range(31)} | {100 + i: 100 for i in range(20)} | {200: 200, 201: 200}
+    assert {row.node: row.component for row in found} == expected and len(found) == len(expected)
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []

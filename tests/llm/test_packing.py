@@ -1,0 +1,103 @@
+import random
+import struct
+import zlib
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tallyworks.llm import packing
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def reference():
+    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found.encode_special_tokens = True
+    return lambda text: found.encode(text or "", add_special_tokens=False).ids
+
+
+def test_ids_are_those_of_the_tokenizer_file(reference):
+    own = packing.Tokenizer(packing.ranks_file())
+    draw = random.Random(1)
+    odd = ["", " ", "a  b", "a <|endoftext|> b", "it's I'll 123 45", "x\r\ny", "z" * 3000]
+    odd += ["".join(draw.choice("ab'1 \n\t.é漢 !l ") for _ in range(draw.randint(1, 40))) for _ in range(500)]
+    for text in odd:
+        ids = reference(text)
+        assert own.ids(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def check(rows, texts, reference, sequence):
+    """Every document's ids are all there, in pieces that lie gapless in their sequences."""
+    by_sequence, by_doc = defaultdict(list), defaultdict(list)
+    for row in rows:
+        by_sequence[row.sequence_id].append((row.offset, row.length))
+        by_doc[row.doc_id].append(row)
+    for places in by_sequence.values():
+        places.sort()
+        assert [offset for offset, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))]
+        assert sum(n for _, n in places) <= sequence
+    for doc_id, text in texts.items():
+        ids = [*reference(text), 0]
+        pieces = sorted(by_doc.pop(doc_id), key=lambda row: row.piece)
+        assert [row.piece for row in pieces] == list(range(len(pieces)))
+        assert all(row.length == sequence for row in pieces[1:]) or len(ids) <= sequence
+        assert len(pieces) == -(-len(ids) // sequence)
+        at = 0
+        for row in pieces:
+            held = ids[at : at + row.length]
+            assert (row.start, row.ids_crc32) == (at, zlib.crc32(struct.pack(f"<{len(held)}I", *held)))
+            at += row.length
+        assert at == len(ids)
+    assert not by_doc
+    return len(by_sequence)
+
+
+def test_documents_are_packed_whole(spark, reference):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = packing.pack_documents(docs).collect()
+    made = check(rows, {row.doc_id: row.text for row in docs.collect()}, reference, 2048)
+    assert made <= 1.05 * sum(row.length for row in rows) / 2048 + 1
+
+
+def test_few_open_sequences(spark, reference):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 60")
+    rows = packing.pack_documents(docs, sequence=128, most=2).collect()
+    check(rows, {row.doc_id: row.text for row in docs.collect()}, reference, 128)
+
+
+def test_odd_rows(odd, odd_rows, reference):
+    rows = [row for row in packing.pack_documents(odd).collect()]
+    counts = defaultdict(int)
+    for row in rows:
+        counts[row.doc_id, row.start] += 1
+    assert counts[4, 0] == 2 and counts[None, 0] == 1
+    once = {}
+    for row in rows:
+        once.setdefault((row.doc_id, row.piece), row)
+    lengths = defaultdict(int)
+    for (doc_id, _), row in once.items():
+        lengths[doc_id] += row.length
+    assert lengths == {doc_id: len(reference(text)) + 1 for doc_id, text, _ in odd_rows}
+
+
+def test_no_rows(nothing):
+    assert packing.pack_documents(nothing).collect() == []
+
+
+def test_the_fullest_sequence_closes_first():
+    state = packing.OpenSequences(10, 2)
+    assert [state.place(n) for n in (6, 7)] == [(0, 0), (1, 0)]
+    assert state.place(8) == (2, 0)  # closes 1, which has less room than 0
+    assert state.place(3) == (0, 6)
+    assert state.place(2) == (2, 8)
+
+
+def test_the_sequences_hold_the_ids(spark, reference):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 40")
+    rows = packing.sequences(docs, sequence=256).collect()
+    ids = sorted(token for row in rows for token in row.ids)
+    assert ids == sorted(token for row in docs.collect() for token in [*reference(row.text), 0])
+    assert all(len(row.ids) <= 256 for row in rows)
