@@ -17,8 +17,11 @@ CELL_COLUMNS = "row_key STRING, family STRING, qualifier STRING, value STRING, t
 
 
 def buckets_for(expected_cells: int) -> int:
-    """Folders of about ten million cells each, 16 at least and 10,000 at most."""
-    return min(max(expected_cells // 10_000_000, 16), 10_000)
+    """Folders of about ten million cells each, and 16 at least, which only spreads small tables.
+
+    More folders make reading a row cheaper and writing dearer: every put opens a file in each folder it has cells for.
+    """
+    return max(expected_cells // 10_000_000, 16)
 
 
 def create_cell_table(spark: SparkSession, name: str, families: Sequence[str], buckets: int = 256) -> bool:

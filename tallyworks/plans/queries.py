@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyworks.functions.strings import register_to_upper, split_pair, store_to_upper
 from tallyworks.operators import cells, grouping, selection, tables
 from tallyworks.plans import adhoc, contract, jobs
 from tallyworks.sinks import write_csv, write_lines, write_tab_text
-from tallyworks.sources import list_directory, list_tree, read_csv, read_lines, read_tab_text, spread
-from tallyworks.storage import Workspace, qualified_path
+from tallyworks.sources import read_csv, read_lines, read_tab_text, table_files
+from tallyworks.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,27 +46,33 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-# Grouped totals and counts
+# Grouped totals and counts. Amounts are summed as decimals, so that a total does not depend on the order of its rows.
+
+
+def cents(frame: DataFrame, amount: str) -> DataFrame:
+    return frame.withColumn(amount, F.col(amount).cast("decimal(18,2)"))
 
 
 @query(
-    """select o_orderpriority, round(sum(o_totalprice), 2) as total_amount
+    """select o_orderpriority, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total_amount
        from orders group by o_orderpriority"""
 )
 def sales_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = grouping.total_by(load(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "total")
-    return totals.select("o_orderpriority", F.round("total", 2).alias("total_amount")).orderBy("o_orderpriority")
+    orders = cents(load(spark, sf_dir, "orders"), "o_totalprice")
+    totals = grouping.total_by(orders, "o_orderpriority", "o_totalprice", "total")
+    return totals.select("o_orderpriority", F.col("total").cast("double").alias("total_amount")).orderBy("o_orderpriority")
 
 
 @query(
     f"""select c_mktsegment, total_notional, total_notional > {EXPOSURE_LIMIT} as limit_breached
-        from (select c_mktsegment, round(sum(c_acctbal), 2) as total_notional
+        from (select c_mktsegment, cast(sum(cast(c_acctbal as decimal(18,2))) as double) as total_notional
               from customer group by c_mktsegment)"""
 )
 def exposure_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = grouping.total_by(load(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", "total")
-    rounded = totals.select("c_mktsegment", F.round("total", 2).alias("total_notional"))
-    return grouping.flag_above(rounded, "total_notional", EXPOSURE_LIMIT).orderBy("c_mktsegment")
+    customers = cents(load(spark, sf_dir, "customer"), "c_acctbal")
+    totals = grouping.total_by(customers, "c_mktsegment", "c_acctbal", "total")
+    amounts = totals.select("c_mktsegment", F.col("total").cast("double").alias("total_notional"))
+    return grouping.flag_above(amounts, "total_notional", EXPOSURE_LIMIT).orderBy("c_mktsegment")
 
 
 @query(
@@ -75,8 +81,7 @@ def exposure_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
         where word <> '' group by word"""
 )
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spread(load(spark, sf_dir, "documents").select("text"))
-    return grouping.count_words(texts, "text").orderBy("word")
+    return grouping.count_words(load(spark, sf_dir, "documents"), "text").orderBy("word")
 
 
 @query("select event_type, count(event_type) as cnt from events group by event_type")
@@ -247,81 +252,90 @@ def range_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(rows).agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
 
 
-@query()
-def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_directory(spark, sf_dir).orderBy("path")
-
-
-def _events_in_folders(spark: SparkSession, sf_dir: str) -> str:
+def _events_in_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of ``events`` partitioned by type, with the folder each lies in."""
     root = Workspace.of(spark).path("events")
     load(spark, sf_dir, "events").write.partitionBy("event_type").parquet(root)
-    return root
+    return table_files(spark.read.parquet(root)).withColumn("folder", F.regexp_extract("path", "([^/]*)/[^/]*$", 1))
 
 
-def _without(spark: SparkSession, root: str) -> Column:
-    return F.substring(F.col("path"), len(qualified_path(spark, root)) + 2, 2**31 - 1).alias("path")
+@query(
+    """select 'event_type=' || event_type as folder, count(*) as n_rows, true as has_files, true as has_bytes
+       from events group by event_type"""
+)
+def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        _events_in_folders(spark, sf_dir)
+        .groupBy("folder")
+        .agg(F.sum("rows").alias("n_rows"), (F.count("*") > 0).alias("has_files"), (F.min("len") > 0).alias("has_bytes"))
+    )
 
 
 @query("select distinct 'event_type=' || event_type as path, true as is_dir, cast(0 as bigint) as len from events")
 def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _events_in_folders(spark, sf_dir)
-    return list_directory(spark, root).select(_without(spark, root), "is_dir", "len")
+    folders = _events_in_folders(spark, sf_dir).select("folder").distinct()
+    return folders.select(F.col("folder").alias("path"), F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("len"))
 
 
-@query("select distinct 'event_type=' || event_type || '/' as path, true as is_dir from events")
+@query(
+    """select 'event_type=' || event_type || '/' as path, true as is_dir, cast(0 as bigint) as n_rows from events group by event_type
+       union all select 'event_type=' || event_type || '/*', false, count(*) from events group by event_type"""
+)
 def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _events_in_folders(spark, sf_dir)
-    return list_tree(spark, root).filter("is_dir").select(_without(spark, root), "is_dir").orderBy("path")
+    files = _events_in_folders(spark, sf_dir).groupBy("folder").agg(F.sum("rows").alias("n_rows"))
+    return files.selectExpr(
+        "stack(2, concat(folder, '/'), true, cast(0 as bigint), concat(folder, '/*'), false, n_rows) as (path, is_dir, n_rows)"
+    )
 
 
 # Tables
 
 
-@query("select count(*) as c from orders")
+@query("select count(*) as c from customer")
 def managed_table_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = Workspace.of(spark).table("orders")
-    tables.ensure_table(spark, table, "o_orderkey BIGINT, o_orderstatus STRING")
-    tables.insert_rows(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), table)
+    table = Workspace.of(spark).table("customer")
+    tables.ensure_table(spark, table, CUSTOMER)
+    tables.insert_rows(load(spark, sf_dir, "customer"), table)
     return spark.sql(f"SELECT count(*) AS c FROM {table}")
 
 
-@query("select o_orderkey, o_orderstatus from orders")
+@query("select * from customer")
 def table_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace.of(spark)
-    table = work.table("orders")
-    tables.ensure_table(spark, table, "o_orderkey BIGINT, o_orderstatus STRING")
-    tables.insert_rows(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), table)
-    return jobs.table_to_parquet(spark, table, work.path("orders"))
+    table = work.table("customer")
+    tables.ensure_table(spark, table, CUSTOMER)
+    tables.insert_rows(load(spark, sf_dir, "customer"), table)
+    return jobs.table_to_parquet(spark, table, work.path("customer"))
 
 
-def _orders_csv_table(spark: SparkSession, sf_dir: str, write_header: bool, read_header: bool) -> str:
+def _part_csv_table(spark: SparkSession, sf_dir: str, write_header: bool, read_header: bool) -> str:
     work = Workspace.of(spark)
-    location, table = work.path("orders"), work.table("orders")
-    write_csv(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), location, header=write_header)
-    tables.create_csv_table(spark, table, "o_orderkey BIGINT, o_orderstatus STRING", location, header=read_header)
+    location, table = work.path("part"), work.table("part")
+    write_csv(load(spark, sf_dir, "part"), location, header=write_header)
+    tables.create_csv_table(spark, table, PART, location, header=read_header)
     return table
 
 
-@query("select count(*) as data_rows, true as one_more_row_per_file from orders")
+@query("select count(*) as data_rows, true as one_more_row_per_file from part")
 def external_csv_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _orders_csv_table(spark, sf_dir, write_header=True, read_header=False)
+    table = _part_csv_table(spark, sf_dir, write_header=True, read_header=False)
     counts = spark.table(table).agg(
         F.count("*").alias("lines"),
-        F.count("o_orderkey").alias("data_rows"),
+        F.count("p_partkey").alias("data_rows"),
         F.count_distinct("_metadata.file_path").alias("files"),
     )
     return counts.selectExpr("data_rows", "lines = data_rows + files as one_more_row_per_file")
 
 
-@query("select count(*) as n from orders")
+@query("select count(*) as n from part")
 def external_csv_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _orders_csv_table(spark, sf_dir, write_header=True, read_header=True)
+    table = _part_csv_table(spark, sf_dir, write_header=True, read_header=True)
     return spark.sql(f"SELECT count(*) AS n FROM {table}")
 
 
-@query("select o_orderkey, o_orderstatus from orders")
+@query("select * from part")
 def external_csv_headerless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.table(_orders_csv_table(spark, sf_dir, write_header=False, read_header=False))
+    return spark.table(_part_csv_table(spark, sf_dir, write_header=False, read_header=False))
 
 
 @query("select false as before_create, true as after_create, count(*) as n_rows from customer")
@@ -383,19 +397,19 @@ def first_column_as_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select o_orderpriority, round(sum(o_totalprice), 2) as total_amount
+    """select o_orderpriority, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total_amount
        from orders where o_orderpriority = '1-URGENT' group by o_orderpriority"""
 )
 def total_for_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = grouping.total_by(load(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "total")
+    totals = grouping.total_by(cents(load(spark, sf_dir, "orders"), "o_totalprice"), "o_orderpriority", "o_totalprice", "total")
     chosen = selection.rows_with(totals, "o_orderpriority", "1-URGENT")
-    return chosen.select("o_orderpriority", F.round("total", 2).alias("total_amount"))
+    return chosen.select("o_orderpriority", F.col("total").cast("double").alias("total_amount"))
 
 
 @query("select count(*) > 0 as found from part where p_name = 'red widget'")
 def contains_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.has_value(load(spark, sf_dir, "part"), "p_name", "red widget")
-    return spark.range(1).select(F.lit(found).alias("found"))
+    rows = selection.rows_with(load(spark, sf_dir, "part"), "p_name", "red widget")
+    return rows.limit(1).agg((F.count("*") > 0).alias("found"))
 
 
 # Keyed cells
@@ -413,8 +427,8 @@ def _put_customers(spark: SparkSession, sf_dir: str) -> str:
         "1 as ts",
         "0 as seq",
     )
-    second = first.filter("qualifier = 'segment'").selectExpr(
-        "row_key", "family", "qualifier", "lower(value) as value", "2 as ts", "0 as seq"
+    second = customer.selectExpr(
+        "c_custkey as row_key", "'cf' as family", "'segment' as qualifier", "lower(c_mktsegment) as value", "2 as ts", "0 as seq"
     )
     cells.put_cells(first, table)
     cells.put_cells(second, table)
@@ -432,6 +446,11 @@ def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.get_row(spark, _put_customers(spark, sf_dir), "42")
 
 
+@query("select lower(c_mktsegment) as value from customer where c_custkey = 42")
+def cell_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.get_value(spark, _put_customers(spark, sf_dir), "42", "cf", "segment").select("value")
+
+
 @query(CUSTOMER_CELLS_SQL)
 def cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.latest_cells(spark.table(_put_customers(spark, sf_dir)))

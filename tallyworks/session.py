@@ -21,16 +21,17 @@ MEBIBYTE = 1024**2
 GIBIBYTE = 1024**3
 
 
-def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
+def settings_for(input_bytes: int, cores: int, shuffle_bytes: int | None = None) -> dict[str, str]:
     """Partition settings for an input of a given size on a number of cores.
 
     A scan task reads what makes 32 tasks per core, but 128 MiB at least and 1 GiB at
-    most. A shuffle starts with a partition per 8 GiB of input, as the jobs aggregate
-    before they shuffle, two per core at least and 20,000 at most; adaptive execution
-    then joins the small ones.
+    most. A shuffle starts with a partition per 256 MiB of what the job is expected to shuffle,
+    and two per core at least; adaptive execution then joins the small ones. Unless
+    ``shuffle_bytes`` says otherwise, that is the whole input, as for work that does not aggregate first.
     """
     split = min(max(input_bytes // (32 * cores), 128 * MEBIBYTE), GIBIBYTE)
-    partitions = min(max(input_bytes // (8 * GIBIBYTE), 2 * cores), 20_000)
+    expected = input_bytes if shuffle_bytes is None else shuffle_bytes
+    partitions = max(-(-expected // (256 * MEBIBYTE)), 2 * cores)
     return {
         "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(partitions),

@@ -1,4 +1,4 @@
-from tallyworks.sources.files import read_csv, read_lines, read_tab_text, spread
-from tallyworks.sources.listing import list_directory, list_tree
+from tallyworks.sources.files import read_csv, read_lines, read_tab_text
+from tallyworks.sources.listing import table_files
 
-__all__ = ["list_directory", "list_tree", "read_csv", "read_lines", "read_tab_text", "spread"]
+__all__ = ["read_csv", "read_lines", "read_tab_text", "table_files"]

@@ -24,27 +24,24 @@ def read_lines(spark: SparkSession, path: str, name: str = "value") -> DataFrame
     return spark.read.text(path).withColumnRenamed("value", name)
 
 
-def read_tab_text(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_tab_text(spark: SparkSession, path: str, schema: str, skip_bad: bool = False) -> DataFrame:
     """Tab-separated lines as ``write_tab_text`` leaves them.
 
     Quotes are ordinary characters here, so the lines are split rather than read as
-    CSV. An empty or missing field is null.
+    CSV. An empty field is null. A line with another number of fields, or with a field that
+    does not parse, fails the read, in ANSI mode or not; ``skip_bad`` leaves such lines out.
     """
-    fields = F.split("value", "\t")
-    return spark.read.text(path).select(
-        *[
-            F.nullif(F.get(fields, F.lit(i)), F.lit("")).cast(field.dataType).alias(field.name)
-            for i, field in enumerate(StructType.fromDDL(schema).fields)
-        ]
-    )
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than there are cores.
-
-    For work that costs much more than reading, over few files or row groups. Fewer
-    splits than cores means at most ``spark.sql.files.maxPartitionBytes`` of input per
-    core, so what this shuffles is small; a larger scan is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    columns = StructType.fromDDL(schema).fields
+    fields = F.split("value", "\t", -1)
+    texts = [F.nullif(F.get(fields, F.lit(i)), F.lit("")) for i in range(len(columns))]
+    parsed = [text.try_cast(column.dataType) for text, column in zip(texts, columns)]
+    good = F.size(fields) == len(columns)
+    for text, value in zip(texts, parsed):
+        good = good & (text.isNull() | value.isNotNull())
+    lines = spark.read.text(path)
+    if skip_bad:
+        lines = lines.filter(good)
+    else:
+        bad = F.raise_error(F.concat(F.lit("not a line of the expected fields: "), F.col("value")))
+        lines = lines.filter(F.when(good, F.lit(True)).otherwise(bad.cast("boolean")))
+    return lines.select(*[value.alias(column.name) for value, column in zip(parsed, columns)])

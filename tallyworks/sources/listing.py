@@ -1,83 +1,16 @@
-"""File inventories as DataFrames.
-
-The files come from Spark's own file index, which lists large trees in a distributed
-job and reads no file content for these columns. Names starting with ``_`` or ``.``
-are not data to Spark and do not appear, nor do folders holding no file.
-"""
+"""The files of a table, from the metadata that a scan has of every row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from tallyworks.storage import path_exists, qualified_path
-
-SCHEMA = "path STRING, is_dir BOOLEAN, len BIGINT"
-
-
-def list_directory(spark: SparkSession, root: str) -> DataFrame:
-    """The entries directly below ``root``; folders have length 0.
-
-    A root that is a file is its own only entry; a missing root is an error.
-    """
-    base = qualified_path(spark, root)
-    rest = _below(base)
-    is_dir = F.contains(rest, F.lit("/"))
-    entry = F.concat(F.lit(_prefix(base)), F.substring_index(rest, "/", 1))
-    return (
-        _files(spark, root)
-        .select(
-            F.when(F.col("path") == base, F.col("path")).otherwise(entry).alias("path"),
-            is_dir.alias("is_dir"),
-            F.when(is_dir, F.lit(0)).otherwise(F.col("length")).cast("bigint").alias("len"),
-        )
-        .distinct()
-    )
+from pyspark.sql import DataFrame, functions as F
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file and folder below ``root``; folder paths end in ``/``.
+def table_files(scan: DataFrame) -> DataFrame:
+    """``path, len, rows`` of every file that a scan finds rows in.
 
-    Ordering by ``path`` gives depth-first order. A missing root gives no rows.
+    ``scan`` is a DataFrame straight from a file source. Rows are counted per file before the shuffle, so
+    what is shuffled is a row per file and task; the driver gets nothing.
     """
-    if not path_exists(spark, root):
-        return spark.createDataFrame([], SCHEMA)
-    base = qualified_path(spark, root)
-    files = _files(spark, root)
-    parents = files.select(
-        F.regexp_replace(_below(base), "[^/]*$", "").alias("parent")
-    ).distinct()
-    steps = F.split(F.rtrim(F.col("parent"), F.lit("/")), "/")
-    folders = (
-        parents.filter("parent <> ''")
-        .select(
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size(steps)),
-                    lambda depth: F.concat(F.concat_ws("/", F.slice(steps, F.lit(1), depth)), F.lit("/")),
-                )
-            ).alias("folder")
-        )
-        .distinct()
+    return scan.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("len")).agg(
+        F.count("*").alias("rows")
     )
-    return files.select("path", F.lit(False).alias("is_dir"), F.col("length").alias("len")).unionByName(
-        folders.select(
-            F.concat(F.lit(_prefix(base)), F.col("folder")).alias("path"),
-            F.lit(True).alias("is_dir"),
-            F.lit(0).cast("bigint").alias("len"),
-        )
-    )
-
-
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    """Path and length of every file. A split holds few large files, whose content is not
-    read here, so the splits are put together into a few tasks per core."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    return files.coalesce(4 * spark.sparkContext.defaultParallelism)
-
-
-def _prefix(base: str) -> str:
-    return base if base.endswith("/") else base + "/"
-
-
-def _below(base: str) -> Column:
-    return F.substring(F.col("path"), len(_prefix(base)) + 1, 2**31 - 1)

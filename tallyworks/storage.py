@@ -6,6 +6,7 @@ any executor can read what another one wrote, also after that one was lost.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -33,8 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyworks-"))
-    return context.getCheckpointDir()
+    application = context.applicationId
+    if application not in _temporary:
+        _temporary[application] = tempfile.mkdtemp(prefix="tallyworks-")
+    return _temporary[application]
+
+
+# Folders made for local sessions that name none, by application.
+_temporary: dict[str, str] = {}
 
 
 class Workspace:
@@ -53,6 +60,7 @@ class Workspace:
         application = spark.sparkContext.applicationId
         if application not in cls._open:
             cls._open[application] = cls(spark)
+            atexit.register(cls._open[application]._close_at_exit)
         return cls._open[application]
 
     def path(self, label: str) -> str:
@@ -66,6 +74,14 @@ class Workspace:
             self._has_database = True
         return f"{self.name}.{label}_{uuid.uuid4().hex[:12]}"
 
+    def _close_at_exit(self) -> None:
+        """Remove what a run left, if its session still runs when the program ends."""
+        if self in self._open.values():
+            try:
+                self.close()
+            except Exception:  # the session is gone, and its tables with it
+                pass
+
     def close(self) -> None:
         """Drop the run's tables and delete its folder. Frames reading from it end here."""
         if self._has_database:

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from tallyworks.functions.strings import split_pair
 from tallyworks.operators import cells, grouping, selection
 from tallyworks.sinks import write_lines, write_tab_text
-from tallyworks.sources import list_directory, list_tree, read_csv, read_lines, read_tab_text
+from tallyworks.sources import read_csv, read_lines, read_tab_text, table_files
 from tallyworks.storage import Workspace
 
 few = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
@@ -98,7 +98,7 @@ def cell_table(spark):
     return table
 
 
-@pytest.mark.parametrize("expected, buckets", [(0, 16), (10**9, 100), (10**12, 10_000)])
+@pytest.mark.parametrize("expected, buckets", [(0, 16), (10**9, 100), (10**12, 100_000)])
 def test_folders_follow_the_size(expected, buckets):
     assert cells.buckets_for(expected) == buckets
 
@@ -157,40 +157,40 @@ def test_latest_cells_match_plain_python(spark, writes):
     assert {(row.row_key, row.family, row.qualifier): row.value for row in latest} == expected
 
 
-def tree(root):
-    found = []
-    for here, folders, files in os.walk(root):
-        found += [os.path.join(here, name) + "/" for name in folders]
-        found += [os.path.join(here, name) for name in files]
-    return sorted(f"file:{path}" for path in found)
+def test_files_of_a_table(spark, tmp_path):
+    spark.range(90).selectExpr("id", "id % 3 as k").repartition(4).write.partitionBy("k").parquet(str(tmp_path / "table"))
+    found = table_files(spark.read.parquet(str(tmp_path / "table"))).collect()
+    assert sum(row.rows for row in found) == 90 and len(found) > 3
+    assert all(row.len == os.path.getsize("/" + row.path.removeprefix("file:").lstrip("/")) for row in found)
 
 
-def test_listings(spark, folder, tmp_path):
-    for name in ("top.txt", "a/one.txt", "a/deep/er/two.txt", "b c/three.txt"):
-        folder(f"root/{name}", name)
-    root = str(tmp_path / "root")
-    listed = list_tree(spark, root).orderBy("path").collect()
-    assert [row.path for row in listed] == tree(root)
-    assert {row.path: row.len for row in listed if not row.is_dir} == {
-        path: os.path.getsize(path.removeprefix("file:")) for path in tree(root) if not path.endswith("/")
-    }
-    entries = {row.path.rsplit("/", 1)[1]: (row.is_dir, row.len) for row in list_directory(spark, root + "/").collect()}
-    assert entries == {"top.txt": (False, 7), "a": (True, 0), "b c": (True, 0)}
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("line", ["b\tx", "c\td\t5", "b", "", "b\t99999999999999999999"])
+def test_a_bad_tab_line_fails_or_is_skipped(spark, folder, ansi, line):
+    path, before = folder("tab.txt", f"a\t1\n{line}\n\t\n"), spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(PySparkException, match="not a line"):
+            read_tab_text(spark, path, "k STRING, n BIGINT").collect()
+        lenient = read_tab_text(spark, path, "k STRING, n BIGINT", skip_bad=True).collect()
+        assert sorted(map(tuple, lenient), key=str) == [("a", 1), (None, None)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
-def test_listing_a_missing_folder(spark, tmp_path):
-    assert list_tree(spark, str(tmp_path / "nowhere")).collect() == []
-    with pytest.raises(PySparkException, match="PATH_NOT_FOUND"):
-        list_directory(spark, str(tmp_path / "nowhere"))
+@pytest.mark.parametrize("value", ["a\tb", "a\nb", "a\rb"])
+def test_a_separator_in_a_value_is_not_written(spark, tmp_path, value):
+    with pytest.raises(PySparkException, match="tab or line end"):
+        write_tab_text(spark.createDataFrame([(value, 1)], "k STRING, n INT"), str(tmp_path / "out"))
 
 
-def test_listing_a_file(spark, folder):
-    path = folder("one.txt", "bonjour rest")
-    for listed in (list_directory(spark, path), list_tree(spark, path)):
-        assert [tuple(row) for row in listed.collect()] == [(f"file:{path}", False, 12)]
+def test_a_null_has_no_line(spark, tmp_path):
+    target = str(tmp_path / "lines")
+    write_lines(spark.createDataFrame([("a",), (None,), ("",)], "value STRING"), target)
+    assert sorted(row.value for row in read_lines(spark, target).collect()) == ["", "a"]
 
 
-def test_listing_an_empty_folder(spark, tmp_path):
-    (tmp_path / "empty").mkdir()
-    assert list_tree(spark, str(tmp_path / "empty")).count() == 0
-    assert list_directory(spark, str(tmp_path / "empty")).count() == 0
+def test_totals_of_cents_do_not_depend_on_the_order(spark):
+    frame = spark.range(200_000).selectExpr("1 as k", "cast(round(rand(1) * 500000, 2) as decimal(18,2)) as v")
+    totals = {grouping.total_by(frame.repartition(parts), "k", "v", "t").first().t for parts in (1, 3, 7)}
+    assert len(totals) == 1

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from tallyworks.plans.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TALLYWORKS_DATA", "/root/testdata/sf0.001")
 TABLES = (
@@ -29,12 +30,12 @@ def canonical(columns, rows):
     return sorted((tuple(row[i] for i in order) for row in rows), key=repr)
 
 
-def test_only_the_inventory_has_no_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"file_inventory"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, oracle, name):
     result = registry.queries()[name](spark, DATA)
     actual = canonical(result.columns, result.collect())
@@ -58,12 +59,5 @@ def duckdb_types(oracle, sql):
     return {row[0]: row[1] for row in oracle.execute(f"describe {sql}").fetchall()}
 
 
-def test_inventory_lists_every_file(spark):
-    rows = registry.queries()["file_inventory"](spark, DATA).collect()
-    assert [(row.path.rsplit("/", 1)[1], row.is_dir, row.len) for row in rows] == [
-        (f"{table}.parquet", False, os.path.getsize(f"{DATA}/{table}.parquet")) for table in sorted(TABLES)
-    ]
-
-
 def test_entry_has_rows(spark):
     assert registry.entry(spark).count() > 0
