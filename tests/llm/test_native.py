@@ -1,0 +1,120 @@
+"""Chat formatting, quality rules and line dedup."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyworks.llm import chat, line_dedup, quality_rules
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_escaping_is_reversible(spark):
+    draw = random.Random(2)
+    texts = ["", "\\", "<|", "\\l|", "<|end|>", r"\### Assistant: </turn> ok"]
+    texts += ["".join(draw.choice("\\l|<>a\n") for _ in range(draw.randrange(12))) for _ in range(500)]
+    frame = spark.createDataFrame([(text,) for text in texts], "t string")
+    for row in frame.select("t", chat.escaped(F.col("t")).alias("e"), chat.unescaped(chat.escaped(F.col("t"))).alias("u")).collect():
+        assert row.u == row.t and "<|" not in row.e
+
+
+PARTS = f"conv_id bigint, turn bigint, role string, formatted string, parts array<{chat.PART}>"
+
+
+def test_parts_are_flattened_in_order(spark):
+    rows = [
+        (1, 1, "assistant", "x", [("text", "a <|image|>", None, None), ("image", None, "s3://i", 3), ("text", "b", None, None)]),
+        (1, 0, "user", "x", [("audio", None, "a.wav", 10), ("document", None, "d.pdf", None), None, ("text", None, None, None)]),
+        (1, None, None, "x", None),
+        (None, 0, "user", "x", []),
+    ]
+    formatted = {row.conv_id: row for row in chat.format_chats(spark.createDataFrame(rows, PARTS)).collect()}
+    one = formatted[1]
+    assert one.formatted == (
+        "<|turn|><|text|><|end|><|turn|>user<|text|><|audio|><|document|><|end|>"
+        "<|turn|>assistant<|text|>a \\l|image|><|image|>b<|end|>"
+    )
+    assert [tuple(held) for held in one.attachments] == [(1, "audio", "a.wav", 250), (1, "document", "d.pdf", 400), (2, "image", "s3://i", 768)]
+    assert one.attached_tokens == 1418
+    assert [one.formatted[p.start : p.start + p.length] for p in one.contents if p.loss] == ["a \\l|image|><|image|>b"]
+    assert formatted[None].formatted == "<|turn|>user<|text|><|end|>"
+
+
+def test_reading_back(spark):
+    rows = [(1, t, r, "x", [("text", x, None, None)]) for t, r, x in [(0, "user", None), (1, "assistant", "é<|end|>\\"), (1, "assistant", "b"), (1, "assistant", "b")]]
+    row = chat.read_back(chat.format_chats(spark.createDataFrame(rows, PARTS))).first()
+    said = "user\n\nassistant\nb\nassistant\nb\nassistant\né<|end|>\\\n"
+    assert (row.n_turns, row.loss_chars) == (4, len("bbé<|end|>\\"))
+    assert row.turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert row.loss_sha256 == hashlib.sha256("bbé<|end|>\\".encode()).hexdigest()
+
+
+def test_an_unknown_part_fails_and_no_rows_are_no_rows(spark):
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException, match="unknown kind"):
+        chat.format_chats(spark.createDataFrame([(1, 1, "u", "x", [("video", None, None, None)])], PARTS)).collect()
+    assert chat.read_back(chat.format_chats(spark.createDataFrame([], PARTS))).collect() == []
+
+
+def repeated(text):
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    return len({i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)})
+
+
+def test_repeated_words(spark):
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice("ab") for _ in range(draw.randrange(0, 60))) for _ in range(120)] + ["a " * 9, "a b c d e f g h " * 3]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.lit(0).alias("doc_id"), F.lit("s").alias("source"))
+    for row in quality_rules.measured(found).collect():
+        assert row.n_repeat_words == repeated(row.text), row.text
+        assert row.n_words == len(WORD.findall(row.text))
+
+
+def test_quality_of_odd_rows(odd, odd_rows):
+    rows = quality_rules.quality_rules(odd).collect()
+    assert len(rows) == len(odd_rows)
+    found = {row.doc_id: row for row in rows}
+    assert not any(row.kept for row in rows) and found[6].n_repeat_words == 60_000
+    assert found[1].clean_text is None and found[1].n_words == 0
+    assert found[7].n_symbols == 5 and found[8].word_chars == 200_000
+
+
+def test_boilerplate_of_a_host_is_removed_and_depleted_documents_go(documents):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"Menu  LINE of the site\n{own(i)}", "a") for i in range(12)]
+    rows += [(50, "menu line of the site\n" * 4 + "only eight words are here that are own", "a")]
+    rows += [(60 + i, f"menu line of the site\n{own(60 + i)}", "b") for i in range(5)]
+    rows += [(100 + i, "copied " + own(999), None) for i in range(15)]
+    found = {row.doc_id: row for row in quality_rules.quality_rules(documents(rows)).collect()}
+    assert found[0].kept and found[0].clean_text == own(0) and found[0].cut_lines == 1
+    assert not found[50].kept and found[50].cut_words == 20
+    assert found[60].kept and found[60].cut_lines == 0
+    assert all(found[100 + i].kept and found[100 + i].cut_lines == 0 for i in range(15))
+
+
+def test_spread_lines_stay_once(documents):
+    rows = [(i, f"the very same line\nown text of {i}\nfew words", f"site{i % 12}") for i in range(30, 0, -1)]
+    rows += [(40, "The very  same line", "site1"), (41, "only on one site\nx", "site1"), (None, "the very same line\ny", "site2")]
+    found = line_dedup.line_dedup(documents(rows)).collect()
+    by_id = {row.doc_id: row for row in found}
+    assert by_id[1].clean_text == "the very same line\nown text of 1\nfew words" and by_id[1].cut_lines == 0
+    assert all(by_id[i].clean_text == f"own text of {i}\nfew words" and by_id[i].cut_lines == 1 for i in range(2, 31))
+    assert by_id[40].emptied and by_id[40].clean_text == "" and not by_id[41].emptied and by_id[None].clean_text == "y"
+
+
+@pytest.mark.parametrize("sites", [8, 9, 10, 11, 200])
+def test_the_threshold_is_exact(documents, sites):
+    rows = [(i, "the very same line", f"site{i}") for i in range(sites)] * 2
+    cut = sum(row.cut_lines for row in line_dedup.line_dedup(documents(rows)).collect())
+    assert cut == (0 if sites < 10 else 2 * sites - 2)
+
+
+def test_dedup_of_odd_rows(odd, odd_rows, nothing):
+    rows = line_dedup.line_dedup(odd).collect()
+    assert sorted(repr((row.doc_id, row.clean_text)) for row in rows) == sorted(repr((i, t)) for i, t, _ in odd_rows)
+    assert line_dedup.line_dedup(nothing).collect() == [] and quality_rules.quality_rules(nothing).collect() == []
