@@ -161,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     usable = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
     share = min(1.0, sample / max(1, usable.count()))
     drawn = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    texts = docs.select("doc_id", "text").join(usable, F.col("doc_id") == F.col("_id")).select("text", "label", drawn.alias("drawn"), fold(F.col("_id")).alias("fold"))
+    # Labels grow with the documents, so they are joined by a shuffle at every size.
+    texts = docs.select("doc_id", "text").join(usable.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "label", drawn.alias("drawn"), fold(F.col("_id")).alias("fold"))
     width = -(-FEATURES // SLICES)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
