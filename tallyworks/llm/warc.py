@@ -2,8 +2,8 @@
 
 A response is an HTTP message with a chunked body. A long one is cut into segments: the first is the
 response record, the others are continuation records that name the first one's id and their number, and
-the last one gives the total length. Records are dealt over the files by a hash, so segments of one
-response lie in different files. Reading parses each file by the records' lengths, groups continuations by the
+the last one gives the total length. Segments of a response may lie in different files, and do
+where records are dealt over files by a hash. Reading parses each file by the records' lengths, groups continuations by the
 id of their origin, orders them by number, verifies numbers and total length, and decodes the chunks.
 """
 
@@ -23,8 +23,6 @@ from tallyworks.llm.tasks import for_workers
 REVISIT_BYTES = 1000
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
-# What a file holds on average, before compression.
-FILE_BYTES = 8 << 20
 
 LINE_END = b"\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -125,7 +123,7 @@ def record_rows(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, chunk_byte
     return rows.mapInArrow(framed, "key STRING, record BINARY")
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, file_bytes: int = FILE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, file_bytes: int | None = None) -> None:
     """Write compressed archives of ``pages`` (``page_id, url, html``), a record per row or more where it is long.
 
     The payload is the html in UTF-8; null is empty. Of pages with equal payloads of at least
@@ -133,11 +131,15 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     repeat that id with that payload are responses too. A page without id is a revisit where another
     page has its payload, and a response where no page with id has. Null urls are left out, line ends in
     urls are percent-encoded. Other columns are dropped.
+
+    A file holds a partition of the pages. With ``file_bytes`` the records are dealt by a hash over files of about that
+    size before compression, which shuffles them once more.
     """
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
+    records = record_rows(pages, segment_bytes, chunk_bytes)
+    if file_bytes:
+        total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+        records = records.repartition(max(1, -(-total // file_bytes)), F.xxhash64("key"))
     # Every record ends with two line ends; its bytes are the line, as they are.
-    records = record_rows(pages, segment_bytes, chunk_bytes).repartition(files, F.xxhash64("key"))
     lines = records.select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
