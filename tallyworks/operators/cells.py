@@ -3,17 +3,22 @@
 A cell is named by row key, column family and qualifier. Putting a cell again adds a
 version; reading returns the version with the highest ``(ts, seq)``. The table is
 partitioned by a hash of the row key and the catalog knows its partitions, so reading
-one row lists and opens one folder, however large the table is.
+one row lists and opens one folder, however large the table is. Values are bytes; text is put
+as its UTF-8 bytes, and ``text_values`` reads it back.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BinaryType
+
+from tallyworks.operators.tables import quoted
 
 CELL_KEY = ("row_key", "family", "qualifier")
-CELL_COLUMNS = "row_key STRING, family STRING, qualifier STRING, value STRING, ts BIGINT, seq BIGINT"
+CELL_COLUMNS = "row_key STRING, family STRING, qualifier STRING, value BINARY, ts BIGINT, seq BIGINT"
 
 
 def buckets_for(expected_cells: int) -> int:
@@ -30,10 +35,11 @@ def create_cell_table(spark: SparkSession, name: str, families: Sequence[str], b
     ``buckets`` is the number of folders; ``buckets_for`` gives one for an expected size.
     """
     missing = not spark.catalog.tableExists(name)
+    held = quoted(json.dumps(list(families)))
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({CELL_COLUMNS}, row_bucket INT) USING parquet "
         f"PARTITIONED BY (row_bucket) "
-        f"TBLPROPERTIES ('cells.families' = '{','.join(families)}', 'cells.buckets' = '{buckets}')"
+        f"TBLPROPERTIES ('cells.families' = {held}, 'cells.buckets' = '{buckets}')"
     )
     return missing
 
@@ -41,20 +47,25 @@ def create_cell_table(spark: SparkSession, name: str, families: Sequence[str], b
 def put_cells(cells: DataFrame, name: str) -> None:
     """Append versions of cells: ``row_key, family, qualifier, value, ts, seq``.
 
-    A cell of a family the table does not have fails the write. The rows are rebalanced
-    by folder; adaptive execution splits a folder holding far more than the others over
-    several tasks and files.
+    A cell of a family the table does not have fails the write, and so does one without row key, family or
+    qualifier. Binary values are kept as they are, others as the bytes of their text; a null value is a version
+    like any other. The rows are rebalanced by folder; adaptive execution splits a folder holding far more
+    than the others over several tasks and files.
     """
     families, buckets = _layout(cells.sparkSession, name)
     unknown = F.raise_error(F.concat(F.lit("unknown column family: "), F.col("family")))
     known = F.when(F.col("family").isin(families), F.lit(True)).otherwise(unknown.cast("boolean"))
+    for part in CELL_KEY:
+        known = F.when(F.col(part).isNull(), F.raise_error(F.lit(f"a cell without {part}")).cast("boolean")).otherwise(known)
+    is_binary = isinstance(cells.schema["value"].dataType, BinaryType)
+    value = F.col("value") if is_binary else F.col("value").cast("string").cast("binary")
     (
         cells.filter(known)
         .select(
             F.col("row_key").cast("string"),
             "family",
             "qualifier",
-            F.col("value").cast("string"),
+            value,
             F.col("ts").cast("bigint"),
             F.col("seq").cast("bigint"),
             _bucket(F.col("row_key").cast("string"), buckets).alias("row_bucket"),
@@ -92,6 +103,11 @@ def get_value(spark: SparkSession, name: str, row_key: str, family: str, qualifi
     return get_row(spark, name, row_key).filter((F.col("family") == family) & (F.col("qualifier") == qualifier))
 
 
+def text_values(cells: DataFrame) -> DataFrame:
+    """Cells with their bytes read as UTF-8 text."""
+    return cells.withColumn("value", F.decode("value", "UTF-8"))
+
+
 def _bucket(row_key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(row_key), F.lit(buckets)).cast("int")
 
@@ -99,4 +115,4 @@ def _bucket(row_key: Column, buckets: int) -> Column:
 def _layout(spark: SparkSession, name: str) -> tuple[list[str], int]:
     """The column families and the number of folders a cell table was created with."""
     properties = {row.key: row.value for row in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
-    return properties["cells.families"].split(","), int(properties["cells.buckets"])
+    return json.loads(properties["cells.families"]), int(properties["cells.buckets"])

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 SAMPLE_PEOPLE = ((1, "Alice"), (2, "Bob"), (3, "Charlie"))
 
 
+def quoted(text: str) -> str:
+    """A text as a SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
-    place = f" LOCATION '{location}'" if location else ""
+    place = f" LOCATION {quoted(location)}" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}{place}")
 
 
@@ -31,7 +37,7 @@ def create_csv_table(spark: SparkSession, name: str, columns: str, location: str
     Without ``header`` every line is a row, header lines too.
     """
     spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING csv OPTIONS (header '{str(header).lower()}') LOCATION '{location}'"
+        f"CREATE TABLE {name} ({columns}) USING csv OPTIONS (header '{str(header).lower()}') LOCATION {quoted(location)}"
     )
 
 

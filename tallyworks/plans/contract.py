@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_contract(spark: SparkSession, path: str, schema: str, strict_values: bool = False) -> DataFrame:
-    """Headed CSV whose header must name the schema's columns in their order.
+    """Headed CSV whose header must name the schema's columns in their order, letter case included.
 
     A file with another header fails the read, whichever columns the query uses: column
-    pruning inside the CSV parser is off, as it would skip the check for pruned columns.
+    pruning inside the CSV parser is off, as it would skip the check for pruned columns. A file
+    without any byte, and so without a header, is refused at once; no content is read for that.
     With ``strict_values`` a value that does not parse fails the read too; the counts
     observed on the way keep every column in the scan, so that none goes unchecked.
+
+    The frame belongs to a session of its own, with the caller's settings but for case-sensitive names, by
+    which the CSV source compares headers. The caller's session stays as it is.
     """
+    own = _case_sensitive(spark)
+    _refuse_empty_files(own, path)
     reader = (
-        spark.read.schema(schema)
+        own.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("columnPruning", False)
@@ -25,3 +31,20 @@ def read_contract(spark: SparkSession, path: str, schema: str, strict_values: bo
         return reader.csv(path)
     frame = reader.option("mode", "FAILFAST").csv(path)
     return frame.observe(f"contract_{uuid.uuid4().hex[:12]}", *[F.count(name).alias(name) for name in frame.columns])
+
+
+def _case_sensitive(spark: SparkSession) -> SparkSession:
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.caseSensitive", "true")
+    return own
+
+
+def _refuse_empty_files(spark: SparkSession, path: str) -> None:
+    """A scan passes over files without a byte; the list of its files does not."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    listed, scanned = len(files.inputFiles()), files.count()
+    if scanned < listed:
+        raise ValueError(f"{listed - scanned} of {listed} files under contract have no header, being empty: {path}")

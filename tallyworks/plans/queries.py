@@ -443,17 +443,18 @@ CUSTOMER_CELLS_SQL = """
 
 @query(f"select * from ({CUSTOMER_CELLS_SQL}) where row_key = '42'")
 def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells.get_row(spark, _put_customers(spark, sf_dir), "42")
+    return cells.text_values(cells.get_row(spark, _put_customers(spark, sf_dir), "42"))
 
 
 @query("select lower(c_mktsegment) as value from customer where c_custkey = 42")
 def cell_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells.get_value(spark, _put_customers(spark, sf_dir), "42", "cf", "segment").select("value")
+    got = cells.get_value(spark, _put_customers(spark, sf_dir), "42", "cf", "segment")
+    return cells.text_values(got).select("value")
 
 
 @query(CUSTOMER_CELLS_SQL)
 def cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells.latest_cells(spark.table(_put_customers(spark, sf_dir)))
+    return cells.text_values(cells.latest_cells(spark.table(_put_customers(spark, sf_dir))))
 
 
 @query(

@@ -27,10 +27,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is only made for a local master."""
+    """The folder all executors share; a temporary one is only made for a local master.
+
+    On a cluster a folder of the machines' own file systems is refused, unless ``spark.tallyworks.mounted`` says
+    that all of them mount the same one there.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
+        mounted = spark.conf.get("spark.tallyworks.mounted", "false") == "true"
+        if not (mounted or context.master.startswith("local")) and qualified_path(spark, folder).startswith("file:"):
+            raise RuntimeError(f"executors do not share {folder}; name another spark.checkpoint.dir or set spark.tallyworks.mounted")
         return folder
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")

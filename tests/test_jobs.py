@@ -153,6 +153,26 @@ def test_one_drifted_file_of_many_breaks_the_contract(spark, folder, tmp_path):
         exposure(spark, str(tmp_path / "in"), tmp_path, under_contract=True)
 
 
+@pytest.mark.parametrize("sensitive", ["true", "false"])
+def test_a_header_in_other_case_breaks_the_contract(spark, folder, tmp_path, sensitive):
+    folder("in/a.csv", POSITIONS)
+    folder("in/b.csv", POSITIONS.replace("trade_id,desk", "TRADE_ID,Desk"))
+    spark.conf.set("spark.sql.caseSensitive", sensitive)
+    try:
+        with pytest.raises(Py4JJavaError, match="CSV header does not conform"):
+            exposure(spark, str(tmp_path / "in"), tmp_path, under_contract=True)
+        assert spark.conf.get("spark.sql.caseSensitive") == sensitive
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_a_file_without_header_breaks_the_contract(spark, folder, tmp_path):
+    folder("in/a.csv", POSITIONS)
+    folder("in/b.csv", "")
+    with pytest.raises(ValueError, match="1 of 2 files under contract have no header"):
+        read_contract(spark, str(tmp_path / "in"), jobs.POSITIONS)
+
+
 def test_a_bad_value_breaks_the_contract_in_any_column(spark, folder, tmp_path):
     source = folder("trades.csv", "desk,notional,lots\nRATES,1.0,7\nRATES,2.0,many\n")
     schema = "desk STRING, notional DOUBLE, lots INT"

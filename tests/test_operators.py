@@ -108,10 +108,10 @@ def test_one_cell(spark, cell_table):
         spark.createDataFrame([("row1", "cf", "field", value, ts, seq)], CELLS), cell_table
     )
     put("hello-cells", 1, 0)
-    assert cells.get_value(spark, cell_table, "row1", "cf", "field").first().value == "hello-cells"
+    assert cells.get_value(spark, cell_table, "row1", "cf", "field").first().value == b"hello-cells"
     put("second", 1, 1)
     put("late arrival of an old version", 0, 9)
-    assert [tuple(row) for row in cells.get_row(spark, cell_table, "row1").collect()] == [
+    assert [tuple(row) for row in cells.text_values(cells.get_row(spark, cell_table, "row1")).collect()] == [
         ("row1", "cf", "field", "second")
     ]
     assert cells.get_row(spark, cell_table, "row2").count() == 0
@@ -120,7 +120,31 @@ def test_one_cell(spark, cell_table):
 def test_creating_a_cell_table_again_keeps_it(spark, cell_table):
     cells.put_cells(spark.createDataFrame([("r", "cf", "q", "v", 1, 0)], CELLS), cell_table)
     assert cells.create_cell_table(spark, cell_table, ["other"], buckets=3) is False
-    assert cells.get_row(spark, cell_table, "r").first().value == "v"
+    assert cells.get_row(spark, cell_table, "r").first().value == b"v"
+
+
+def test_bytes_come_back_as_they_were(spark, cell_table):
+    held = bytes([0xFF, 0xFE, 0x00, 0x81])
+    frame = spark.createDataFrame([("r", "cf", "q", held, 1, 0), ("r", "cf", "none", None, 1, 0)], CELLS.replace("value STRING", "value BINARY"))
+    cells.put_cells(frame, cell_table)
+    assert {row.qualifier: row.value for row in cells.get_row(spark, cell_table, "r").collect()} == {"q": held, "none": None}
+
+
+@pytest.mark.parametrize("part", range(3))
+def test_a_cell_without_its_key_fails_the_write(spark, cell_table, part):
+    key = [None if place == part else "cf" for place in range(3)]
+    with pytest.raises(PySparkException, match=f"a cell without {cells.CELL_KEY[part]}"):
+        cells.put_cells(spark.createDataFrame([(*key, "v", 1, 0)], CELLS), cell_table)
+
+
+def test_families_with_commas_and_quotes(spark):
+    table = Workspace.of(spark).table("cells")
+    cells.create_cell_table(spark, table, ["a,b", "it's", "c\\d"], buckets=2)
+    rows = [("r", family, "q", family, 0, 0) for family in ("a,b", "it's", "c\\d")]
+    cells.put_cells(spark.createDataFrame(rows, CELLS), table)
+    assert {row.family for row in cells.get_row(spark, table, "r").collect()} == {"a,b", "it's", "c\\d"}
+    with pytest.raises(PySparkException, match="unknown column family: a"):
+        cells.put_cells(spark.createDataFrame([("r", "a", "q", "v", 0, 0)], CELLS), table)
 
 
 def test_an_unknown_family_fails_the_write(spark, cell_table):
@@ -134,7 +158,7 @@ def test_a_get_opens_one_folder(spark, cell_table):
     cells.put_cells(spark.createDataFrame(rows, CELLS), cell_table)
     assert spark.sql(f"SHOW PARTITIONS {cell_table}").count() == 16
     got = cells.get_row(spark, cell_table, "r7")
-    assert [row.value for row in got.collect()] == ["v7"]
+    assert [row.value for row in got.collect()] == [b"v7"]
     assert all(cells.get_row(spark, cell_table, f"r{i}").count() == 1 for i in (0, 99, 199))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[isnotnull\(row_bucket#\d+\), \(row_bucket#\d+ = \d+\)\]", plan)

@@ -192,6 +192,26 @@ def test_a_cluster_must_name_the_shared_folder(spark):
     assert storage.shared_folder(local) == storage.shared_folder(local)
 
 
+class OnCluster:
+    """A session of a cluster that names a folder of the machines' own."""
+
+    def __init__(self, spark, **settings):
+        self.sparkContext = self
+        self.conf = self
+        self.master, self.applicationId = "spark://host:7077", "application"
+        self._jvm, self._jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+        self.settings = {"spark.checkpoint.dir": "/tmp/shared"} | settings
+
+    def get(self, name, default):
+        return self.settings.get(name, default)
+
+
+def test_a_cluster_must_share_the_folder(spark):
+    with pytest.raises(RuntimeError, match="do not share /tmp/shared"):
+        storage.shared_folder(OnCluster(spark))
+    assert storage.shared_folder(OnCluster(spark, **{"spark.tallyworks.mounted": "true"})) == "/tmp/shared"
+
+
 def test_closing_a_workspace_removes_what_it_wrote(spark):
     work, shared = Workspace(spark), Workspace.of(spark)
     path, table = work.path("x"), work.table("t")
