@@ -17,12 +17,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyworks.llm.tasks import for_workers
+from tallyworks.llm.tasks import for_workers, written
 
 # Payloads of this size or more are written once.
 REVISIT_BYTES = 1000
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
+# The most that the blocks of one archive take before compression; reading holds an archive whole.
+ARCHIVE_BYTES = 256 << 20
 
 LINE_END = b"\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -123,7 +125,14 @@ def record_rows(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, chunk_byte
     return rows.mapInArrow(framed, "key STRING, record BINARY")
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, file_bytes: int | None = None) -> None:
+def write_archives(
+    pages: DataFrame,
+    path: str,
+    segment_bytes: int = SEGMENT_BYTES,
+    chunk_bytes: int = CHUNK_BYTES,
+    file_bytes: int | None = None,
+    archive_bytes: int = ARCHIVE_BYTES,
+) -> None:
     """Write compressed archives of ``pages`` (``page_id, url, html``), a record per row or more where it is long.
 
     The payload is the html in UTF-8; null is empty. Of pages with equal payloads of at least
@@ -132,16 +141,19 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     page has its payload, and a response where no page with id has. Null urls are left out, line ends in
     urls are percent-encoded. Other columns are dropped.
 
-    A file holds a partition of the pages. With ``file_bytes`` the records are dealt by a hash over files of about that
-    size before compression, which shuffles them once more.
+    Each partition of the pages fills one file after another. A file has so many records that their blocks, of
+    ``segment_bytes`` at most, stay within ``archive_bytes``, however large the partition is. With ``file_bytes`` the
+    records are dealt by a hash over files of about that size before compression, which shuffles them once more. They
+    are written first, so that a repeated task deals out the same ids.
     """
     records = record_rows(pages, segment_bytes, chunk_bytes)
     if file_bytes:
         total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-        records = records.repartition(max(1, -(-total // file_bytes)), F.xxhash64("key"))
+        records = written(records, "records").repartition(max(1, -(-total // file_bytes)), F.xxhash64("key"))
     # Every record ends with two line ends; its bytes are the line, as they are.
     lines = records.select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    most = max(1, archive_bytes // segment_bytes)
+    lines.write.option("maxRecordsPerFile", most).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parsed(data: bytes) -> Iterator[dict]:
@@ -264,8 +276,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     told = found.select(
         "page_id", "url", "record_type", "refers_to", "digest", "complete", F.octet_length("payload").cast("bigint").alias("bytes"), F.sha1("payload").alias("sha1")
     )
-    from tallyworks.llm.tasks import written
-
     told = written(told, "pages_read")
     responses = told.filter("record_type = 'response' and complete").groupBy("page_id", "sha1").agg(F.max("bytes").alias("bytes"))
     revisits = told.filter("record_type = 'revisit'").alias("v").join(

@@ -118,6 +118,17 @@ def test_pages_come_back_whole(spark, tmp_path):
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
+def test_archives_stay_within_their_size(spark, tmp_path):
+    rows = [(page, "u", f"page {page} " * 200, "x") for page in range(40)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), path, segment_bytes=700, archive_bytes=7000)
+    records = warc.read_records(spark, path)
+    files = spark.read.format("binaryFile").load(path)
+    assert files.count() == -(-records.count() // 10)
+    assert max(sum(len(one["block"]) for one in warc.parsed(bytes(row.content))) for row in files.collect()) <= 7000
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read_pages(spark, path).collect()) == [(p, len(h)) for p, _, h, _ in rows]
+
+
 def test_damaged_segments_are_told(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archives(spark.createDataFrame([(1, "u", "abc " * 500, "x")], PAGES), path, segment_bytes=600)
