@@ -46,11 +46,11 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     """Every document with ``clean_text``, ``cut_lines``, ``cut_words`` and ``emptied``.
 
     ``docs`` has ``doc_id, text, source``; columns of other names pass through, and any that has a name
-    of the result is replaced. Lines compare as normalised, and those with under ``min_words`` words never
+    of the result, in whatever letter case, is replaced. Lines compare as normalised, and those with under ``min_words`` words never
     count. ``emptied`` is true for a document all of whose words were removed. Null text has no
     lines and stays null. Repeated rows are cut alike. An empty table gives an empty one.
     """
-    docs = docs.select(*[name for name in docs.columns if name not in {"clean_text", "cut_lines", "cut_words", "emptied"}])
+    docs = docs.drop("clean_text", "cut_lines", "cut_words", "emptied")
     rows = written(line_rows(docs).filter(F.col("line_words") >= min_words), "lines")
     spread = spread_lines(rows, min_sites)
     first = F.col("first")

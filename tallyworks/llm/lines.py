@@ -69,7 +69,7 @@ def without_lines(docs: DataFrame, cut: DataFrame) -> DataFrame:
     kept = F.array_except(F.sequence(F.lit(0), F.size(F.split("d.text", "\n")) - 1), F.col("c.positions"))
     clean = let(F.split("d.text", "\n"), lambda lines: F.array_join(F.transform(kept, lambda at: F.get(lines, at)), "\n"))
     return left.join(right, on, "left").select(
-        *[F.col(f"d.`{name}`") for name in docs.columns],
+        *[F.col(f"d.`{name.replace('`', '``')}`") for name in docs.columns],
         F.when(F.col("c.cut_lines").isNull(), F.col("d.text")).otherwise(clean).alias("clean_text"),
         F.coalesce("c.cut_lines", F.lit(0)).alias("cut_lines"),
         F.coalesce("c.cut_words", F.lit(0)).alias("cut_words"),

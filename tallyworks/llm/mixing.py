@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyworks.llm.tasks import WORD, partitions, written
+from tallyworks.llm.tasks import WORD, named, partitions, written
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -157,7 +157,7 @@ def stream(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, most: int
 
     Takes what ``mix`` takes. ``position`` is added, or replaced where ``docs`` has one.
     """
-    own = F.struct(*[F.col(f"`{name}`") for name in docs.columns if name != "position"])
+    own = F.struct(*named(docs.drop("position")))
     rows = _keyed(docs.select("doc_id", "source", "text", own.alias("_row")), parts, seed)
     sizes = written(rows.select("_key", "_part", "source", "_size"), "sizes")
     placed = _scheduled(rows.drop("text", "source"), _facts(sizes, schedules, most), schedules, most)

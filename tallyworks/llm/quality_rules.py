@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyworks.llm.lines import let, line_rows, without_lines, words_in
-from tallyworks.llm.tasks import text_or_empty, written
+from tallyworks.llm.tasks import named, text_or_empty, written
 
 # A line is boilerplate of a host when it is in so many of the host's distinct texts, and in such a share of them.
 MIN_TEXTS = 10
@@ -77,7 +77,7 @@ def measured(docs: DataFrame) -> DataFrame:
         )
 
     found = docs.withColumn("_measures", let(words_in(text), of_words)).select(
-        *docs.columns,
+        *named(docs),
         F.col("_measures.n_words").alias("n_words"),
         F.col("_measures.word_chars").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
@@ -104,12 +104,12 @@ def quality_rules(docs: DataFrame, min_texts: int = MIN_TEXTS, min_share: float
     """Every document with its measures, ``clean_text``, ``cut_lines``, ``cut_words`` and ``kept``.
 
     ``docs`` has ``doc_id, text, source``; columns of other names pass through, and any that has a
-    name of the result is replaced. Null text counts as empty and fails for want of words, so nothing
+    name of the result, in whatever letter case, is replaced. Null text counts as empty and fails for want of words, so nothing
     is kept of it. Repeated rows get equal results, each on a row of its own. An empty table gives an
     empty one.
     """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "cut_lines", "cut_words", "kept"}
-    docs = docs.select(*[name for name in docs.columns if name not in made])
+    docs = docs.drop(*made)
     rows = written(line_rows(docs), "lines")
     lines, frequent = rows.alias("r"), host_boilerplate(rows, min_texts, min_share).alias("f")
     cut = lines.join(

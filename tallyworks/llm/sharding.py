@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructType
 
-from tallyworks.llm.tasks import for_workers
+from tallyworks.llm.tasks import for_workers, named, partitions
 
 SHARDS = 24
 SEED = 6
@@ -52,33 +52,35 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     """
     spark = docs.sparkSession
     for_workers(spark)
-    docs = docs.select(*[name for name in docs.columns if name not in {"shard", "slot", "_order", "_bucket", "_rank"}])
-    total = docs.agg(F.sum(record_size())).first()[0] or 0
+    docs = docs.drop("shard", "slot")
+    rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(record_size()), F.lit(0))).first()
     buckets = max(1, -(-total // bucket_bytes))
-    scattered = docs.withColumn("_order", _scatter(seed)).withColumn("_bucket", F.pmod("_order", F.lit(buckets)))
-    counts = scattered.groupBy("_bucket").agg(F.count("*").alias("_count"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_start"))
-    rows = docs.count()
+    held = docs.select(F.struct(*named(docs)).alias("row"), "doc_id", _scatter(seed).alias("order"))
+    scattered = held.withColumn("bucket", F.pmod("order", F.lit(buckets)))
+    counts = scattered.groupBy("bucket").agg(F.count("*").alias("count"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
 
-    schema = StructType(list(scattered.schema.fields)).add("_rank", LongType())
+    schema = StructType(list(scattered.schema.fields)).add("rank", LongType())
 
     def shuffled(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_order", "ascending"), ("doc_id", "ascending")])
-        bucket = table.column("_bucket")[0].as_py()
+        table = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
+        bucket = table.column("bucket")[0].as_py()
         order = fisher_yates(table.num_rows, [seed, bucket])
-        return table.take(pa.array(order)).append_column("_rank", pa.array(np.arange(table.num_rows), pa.int64()))
+        return table.take(pa.array(order)).append_column("rank", pa.array(np.arange(table.num_rows), pa.int64()))
 
-    ranked = scattered.groupBy("_bucket").applyInArrow(shuffled, schema)
-    placed = ranked.alias("r").join(starts.alias("s"), F.col("r._bucket") == F.col("s._bucket"))
-    rank = F.col("s._start") + F.col("r._rank")
+    ranked = scattered.groupBy("bucket").applyInArrow(shuffled, schema)
+    placed = ranked.join(starts, "bucket").select("row", (F.col("start") + F.col("rank")).alias("rank"))
     # Shard k has the places from floor(k * rows / shards) on.
-    placed = placed.select(*[F.col(f"r.`{name}`") for name in docs.columns], rank.alias("_rank"))
-    placed = placed.withColumn("shard", F.expr(f"cast((_rank * {shards} + {shards - 1}) div {max(rows, 1)} as int)"))
-    return placed.withColumn("slot", F.expr(f"_rank - shard * {rows}L div {shards}")).drop("_rank")
+    placed = placed.withColumn("shard", F.expr(f"cast((rank * {shards} + {shards - 1}) div {max(rows, 1)} as int)"))
+    return placed.select("row.*", "shard", F.expr(f"rank - shard * {rows}L div {shards}").alias("slot"))
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard; the records of a shard are ordered by slot within and across its files."""
-    dealt = sharded.repartitionByRange(sharded.select("shard").distinct().count() or 1, "shard", "slot")
+def write_shards(sharded: DataFrame, path: str, tasks: int | None = None) -> None:
+    """One folder per shard; the records of a shard are ordered by slot within and across its files.
+
+    A task writes a run of a shard, so files are as small as there are ``tasks``, the session's shuffle partitions
+    unless given.
+    """
+    dealt = sharded.repartitionByRange(tasks or partitions(sharded.sparkSession), "shard", "slot")
     dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

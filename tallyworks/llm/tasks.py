@@ -45,5 +45,10 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def named(frame: DataFrame) -> list[Column]:
+    """The columns of a frame, whatever their names hold."""
+    return [F.col(f"`{name.replace('`', '``')}`") for name in frame.columns]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
