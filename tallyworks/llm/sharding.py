@@ -61,16 +61,18 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
 
-    schema = StructType(list(scattered.schema.fields)).add("rank", LongType())
+    # Records meet the start of their bucket where they are shuffled to, so they are shuffled once.
+    dealt = scattered.join(starts.hint("merge"), "bucket")
+    schema = StructType(list(dealt.schema.fields)).add("rank", LongType())
 
     def shuffled(table: pa.Table) -> pa.Table:
         table = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
         bucket = table.column("bucket")[0].as_py()
         order = fisher_yates(table.num_rows, [seed, bucket])
-        return table.take(pa.array(order)).append_column("rank", pa.array(np.arange(table.num_rows), pa.int64()))
+        ranks = np.arange(table.num_rows) + table.column("start")[0].as_py()
+        return table.take(pa.array(order)).append_column("rank", pa.array(ranks, pa.int64()))
 
-    ranked = scattered.groupBy("bucket").applyInArrow(shuffled, schema)
-    placed = ranked.join(starts, "bucket").select("row", (F.col("start") + F.col("rank")).alias("rank"))
+    placed = dealt.groupBy("bucket").applyInArrow(shuffled, schema)
     # Shard k has the places from floor(k * rows / shards) on.
     placed = placed.withColumn("shard", F.expr(f"cast((rank * {shards} + {shards - 1}) div {max(rows, 1)} as int)"))
     return placed.select("row.*", "shard", F.expr(f"rank - shard * {rows}L div {shards}").alias("slot"))
