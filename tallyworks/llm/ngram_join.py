@@ -13,8 +13,10 @@ pair crosses, so that each block's lists are merged in one task:
    has is alone. Equal n-grams are combined per batch before they are shuffled.
 2. The remaining sets' n-grams are counted. In an order from rare to common, similar sets share one of the first
    n - T + 1; sets that share one of these belong to one block.
-3. A block too large for a task is split into parts, and all of its first set is in every part. Sets that are then
-   not yet connected with the block's largest component are searched in all parts.
+3. A block too large for a task is split into parts, with its first set in every part. Then one set of each
+   component found is searched in the same way, which connects what a large group of copies left in many parts.
+   Sets that are still not connected with the block's largest component are searched in all parts, a
+   bounded number of them at a time.
 
 Everything is exact but for 64-bit hashes of n-grams. Links are found as far as they connect
 something that was not yet connected.
@@ -29,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyworks.llm.graph import components
 from tallyworks.llm.hashing import mixed, shingle_sets
@@ -316,6 +318,8 @@ def first_elements(chunks: DataFrame, percent: int) -> DataFrame:
 def blocks(elements: DataFrame) -> DataFrame:
     """``node, block``: sets that share one of their first elements, directly or through others."""
     lists = elements.groupBy("hash").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last").select("hash", "a")
+    # Written, so that adaptive execution can split the rows of a frequent element.
+    lists = written(lists, "lists")
     edges = elements.join(lists, "hash").select("a", F.col("node").alias("b"))
     return components(edges).withColumnRenamed("component", "block")
 
@@ -441,29 +445,66 @@ def _search(percent: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def links_in_blocks(sets: DataFrame, block_of: DataFrame, percent: int, part: int = PART) -> DataFrame:
-    """``a, b``: links that connect all similar sets of the blocks."""
-    sized = sets.join(block_of, "node")
-    total = sized.groupBy("block").agg(F.sum("size").alias("total"))
-    parts = total.select("block", F.ceil(F.col("total") / F.lit(part)).cast("int").alias("parts"))
-    rows = sized.join(parts, "block")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
-    first = rows.withColumn("part", F.explode(F.when(F.col("node") == F.col("block"), everywhere).otherwise(F.array(own))))
-    names = ["block", "part", "node", "size", "hashes", "label", "asked"]
-    task = lambda frame: frame.select(*names).groupBy("block", "part").applyInArrow(_search(percent), "a BIGINT, b BIGINT")
-    found = written(task(first.withColumn("label", F.col("node")).withColumn("asked", F.lit(True))), "links")
+    """``a, b``: links that connect all similar sets of the blocks.
+
+    No task gets much more than two times ``part`` elements, or two sets if these are longer. Tables that are joined
+    with a row per set are written first, so that adaptive execution can split a large block's rows.
+    """
+    sizes = written(sets.select("node", "size").join(block_of, "node"), "sizes")
+    parts = _parts(sizes, part, "parts")
+    placed = sizes.join(parts, "block")
+    found = written(_searched(sets, _spread(placed, "block"), percent), "links")
     split = parts.filter("parts > 1")
     if split.isEmpty():
         return found
-    # Whoever is not in the largest component of a split block has yet to meet the other parts.
+    # The parts of one group of copies meet in one set of each; all of the largest component's parts get its set.
+    placed = written(placed.filter("parts > 1"), "placed")
+    heads = _labelled(placed, found).filter("node = label and n > 1").drop("parts")
+    heads = written(heads, "heads")
+    met = _searched(sets, _spread(heads.join(_parts(heads, part, "head_parts"), "block"), "largest"), percent)
+    found = found.unionByName(written(met, "head_links"))
+    # Whoever is still not in the largest component of a split block has yet to meet the other parts.
+    member = _labelled(placed, found).withColumn("asked", F.col("label") != F.col("largest"))
+    member = written(member, "members")
+    member = member.join(_parts(member.filter("asked"), part, "asks").withColumnRenamed("parts", "asks"), "block")
+    asks, every = F.sequence(F.lit(0), F.col("asks") - 1), F.sequence(F.lit(0), F.col("parts") - 1)
+    names = ["node", "block", "label"]
+    asking = member.filter("asked").select(*names, _own("asks").alias("ask"), F.explode(every).alias("part"), F.lit(True).alias("asked"))
+    others = member.select(*names, F.explode(asks).alias("ask"), _own("parts").alias("part"), F.lit(False).alias("asked"))
+    return found.unionByName(_searched(sets, asking.unionByName(others), percent))
+
+
+def _own(count: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+
+
+def _parts(rows: DataFrame, part: int, label: str) -> DataFrame:
+    """``block, parts``: how many parts of about ``part`` elements the rows of a block make."""
+    total = rows.groupBy("block").agg(F.sum("size").alias("total"))
+    return written(total.select("block", F.ceil(F.col("total") / F.lit(part)).cast("int").alias("parts")), label)
+
+
+def _spread(rows: DataFrame, everywhere: str) -> DataFrame:
+    """Rows in the part of their own, and the set that the column ``everywhere`` names in all parts; each set is a component."""
+    all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = F.when(F.col("node") == F.col(everywhere), all_parts).otherwise(F.array(_own("parts")))
+    return rows.select("node", "block", F.col("node").alias("label"), F.lit(0).alias("ask"), F.explode(dealt).alias("part"), F.lit(True).alias("asked"))
+
+
+def _labelled(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``label``, the component by the links found; ``n``, its number of sets; ``largest``, its block's largest one."""
     joined = written(components(found), "components")
-    member = block_of.join(split, "block").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    member = written(member.select("block", "parts", "node", "label"), "members")
-    by_label = member.groupBy("block", "label").agg(F.count("*").alias("n"))
-    largest = by_label.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    member = member.join(largest, "block").withColumn("asked", F.col("label") != F.col("largest"))
-    again = sets.join(member, "node").withColumn("part", F.explode(F.when(F.col("asked"), everywhere).otherwise(F.array(own))))
-    return found.unionByName(task(again))
+    member = placed.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    member = written(member, "labelled")
+    by_label = written(member.groupBy("block", "label").agg(F.count("*").alias("n")), "by_label")
+    largest = written(by_label.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("largest")), "largest")
+    return member.join(by_label, ["block", "label"]).join(largest, "block")
+
+
+def _searched(sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the links that a search of each ``block, ask, part`` finds."""
+    held = sets.join(written(rows, "dealt"), "node").select("block", "ask", "part", "node", "size", "hashes", "label", "asked")
+    return held.groupBy("block", "ask", "part").applyInArrow(_search(percent), "a BIGINT, b BIGINT")
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part: int = PART) -> DataFrame:

@@ -132,3 +132,29 @@ def test_components_of_chains_and_stars(spark):
     expected = {i: 0 for i in range(31)} | {100 + i: 100 for i in range(20)} | {200: 200, 201: 200}
     assert {row.node: row.component for row in found} == expected and len(found) == len(expected)
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_a_split_block_whose_first_set_is_like_no_other(spark, monkeypatch):
+    draw, part = random.Random(5), 3000
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(f"f{i}" for i in range(60))]
+    texts += [edited(draw, base, draw.randrange(3)) for _ in range(200)]
+    texts += [" ".join([f"u{draw.randrange(10**6)}" for _ in range(90)]) for _ in range(60)]
+    texts += [edited(draw, texts[-1].split(" "), 1) for _ in range(3)]
+    rows = list(enumerate(texts))
+    held = [(at, len(found), found.tobytes()) for at, found in enumerate(shingle_sets(pa.array(texts), 4))]
+    sets = spark.createDataFrame([(at, size, bytearray(data)) for at, size, data in held], "node bigint, size bigint, hashes binary")
+    searched, loads, asked = ngram_join._searched, [], []
+
+    def watched(sets, rows, percent):
+        loads.append(sets.join(rows, "node").groupBy("block", "ask", "part").agg({"size": "sum"}).collect())
+        asked.append(rows.filter("asked").select("node").distinct().count())
+        return searched(sets, rows, percent)
+
+    monkeypatch.setattr(ngram_join, "_searched", watched)
+    links = ngram_join.links_in_blocks(sets, sets.selectExpr("node", "0L as block"), 85, part)
+    found = {row.node: row.component for row in graph.components(links).collect()}
+    assert sorted(((at, size, found.get(at, at)) for at, size, _ in held), key=str) == brute_force(rows, 4, 85)
+    # Copies that had links in their parts have met before the last search; no task gets much more than two parts.
+    assert len(asked) == 3 and asked[2] < len(rows) / 2
+    assert max(row[3] for load in loads for row in load) < 3 * part
