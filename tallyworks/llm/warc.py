@@ -95,6 +95,8 @@ def record_rows(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, chunk_byte
         (F.octet_length(payload) >= REVISIT_BYTES).alias("long"),
     )
     repeated = told.filter("long").groupBy("digest").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1 and kept_id is not null")
+    # Written, so that adaptive execution can split the pages of a payload that very many have.
+    repeated = written(repeated, "repeated")
     joined = told.alias("p").join(repeated.alias("r"), (F.col("p.digest") == F.col("r.digest")) & F.col("p.long"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("kept_id")), F.col("kept_id"))
     rows = joined.select("page_id", "url", "p.digest", refers.alias("refers_to"), F.when(refers.isNull(), F.col("html")).alias("html"), F.uuid(F.lit(10)).alias("uuid"))
