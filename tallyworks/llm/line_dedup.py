@@ -30,6 +30,7 @@ def spread_lines(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "position")
     # Most lines occur once. Only those with as many rows as sites are asked for can be spread.
     many = rows.groupBy("line_hash").agg(F.count("source").alias("n"), F.min(place).alias("first")).filter(F.col("n") >= min_sites)
+    many = written(many, "many")
     sites = rows.join(many.select("line_hash"), "line_hash", "left_semi").select("line_hash", "source")
     estimated = sites.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", SKETCH)).alias("estimate"))
     near = F.col("estimate").between((1 - BAND) * min_sites - 1, (1 + BAND) * min_sites + 1)
@@ -52,7 +53,8 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     """
     docs = docs.drop("clean_text", "cut_lines", "cut_words", "emptied")
     rows = written(line_rows(docs).filter(F.col("line_words") >= min_words), "lines")
-    spread = spread_lines(rows, min_sites)
+    # Written, so that adaptive execution can split the rows of a line that very many documents hold.
+    spread = written(spread_lines(rows, min_sites), "spread")
     first = F.col("first")
     elsewhere = ~(
         F.col("doc_id").eqNullSafe(first["doc_id"])

@@ -218,3 +218,15 @@ def test_scores_without_both_classes(spark, odd, nothing):
         scores = [row.score for row in quality_model.score(odd, model).collect()]
         assert len(scores) == 10 and len(set(scores)) == 1 and 0 < scores[0] < 1
         assert quality_model.score(nothing, model).collect() == []
+
+
+def test_pages_of_a_hot_payload_are_split(eager_to_split):
+    draw = random.Random(6)
+    own = lambda: " ".join(f"w{draw.randrange(10**6)}" for _ in range(200))
+    hot = own()
+    pages = [(at, f"http://h/{at}", hot if at % 3 else own()) for at in range(1500)]
+    records = warc.record_rows(eager_to_split.createDataFrame(pages, "page_id bigint, url string, html string").repartition(16))
+    assert records.count() == 1500
+    held = records.collect()
+    assert sum(b"WARC-Type: revisit" in row.record for row in held) == 999
+    assert "skew=true" in records._jdf.queryExecution().executedPlan().toString()

@@ -118,3 +118,14 @@ def test_dedup_of_odd_rows(odd, odd_rows, nothing):
     rows = line_dedup.line_dedup(odd).collect()
     assert sorted(repr((row.doc_id, row.clean_text)) for row in rows) == sorted(repr((i, t)) for i, t, _ in odd_rows)
     assert line_dedup.line_dedup(nothing).collect() == [] and quality_rules.quality_rules(nothing).collect() == []
+
+
+@pytest.mark.parametrize("operator", [quality_rules.quality_rules, line_dedup.line_dedup])
+def test_rows_of_a_hot_line_are_split(eager_to_split, documents, operator):
+    draw = random.Random(4)
+    words = lambda: " ".join(f"w{draw.randrange(10**5)}" for _ in range(30))
+    docs = documents([(at, f"{words()}\none line that every page of them has\n{words()}", f"s{max(0, at % 400 - 388)}") for at in range(6000)]).repartition(16)
+    found = operator(docs)
+    rows = found.collect()
+    assert len(rows) == 6000 and sum(row.cut_lines for row in rows) > 5800
+    assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
