@@ -31,13 +31,15 @@ def spread_lines(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     # Most lines occur once. Only those with as many rows as sites are asked for can be spread.
     many = rows.groupBy("line_hash").agg(F.count("source").alias("n"), F.min(place).alias("first")).filter(F.col("n") >= min_sites)
     many = written(many, "many")
-    sites = rows.join(many.select("line_hash"), "line_hash", "left_semi").select("line_hash", "source")
+    # Written, so that each task sends one sketch of a hot line: after the join alone its rows are in one place.
+    sites = written(rows.join(many.select("line_hash"), "line_hash", "left_semi").select("line_hash", "source"), "sites")
     estimated = sites.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", SKETCH)).alias("estimate"))
     near = F.col("estimate").between((1 - BAND) * min_sites - 1, (1 + BAND) * min_sites + 1)
     exact = (
-        sites.join(estimated.filter(near).select("line_hash"), "line_hash", "left_semi")
+        sites.distinct()
+        .join(estimated.filter(near).select("line_hash"), "line_hash", "left_semi")
         .groupBy("line_hash")
-        .agg(F.count_distinct("source").alias("exact"))
+        .agg(F.count("source").alias("exact"))
     )
     counted = estimated.join(exact, "line_hash", "left").filter(F.coalesce("exact", "estimate") >= min_sites)
     return many.join(counted.select("line_hash"), "line_hash", "left_semi").select("line_hash", "first")
