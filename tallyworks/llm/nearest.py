@@ -2,8 +2,10 @@
 
 Vectors are projected on a few directions, shifted, and ordered along a Hilbert curve; another rotation
 and another shift give another order. The orders are range-partitioned and cut into blocks of equal row
-count. A query is compared with all vectors of its own block and of the two next to it, in every
-order, so its window is at least a block to either side. The windows' best are merged and ranked exactly.
+count. A query is compared with all vectors of its own block and of as many to either side as its reach, in every
+order. The reach is at least one block and grows until the windows hold ``RECALL`` of the true neighbours of a
+sample of queries, which are found by comparing the sample with all vectors. The windows' best are merged and
+ranked exactly.
 
 The largest inner product becomes the smallest distance by one more coordinate, which fills every vector up
 to the largest norm and is zero for queries. Equal vectors are one, with as many of their smallest ids as
@@ -28,6 +30,9 @@ BITS = 8
 BLOCK = 2048
 # The most vectors that centre and spread of the coordinates are taken from; they go through the driver.
 FITTED = 10_000
+# The most queries whose true neighbours set the reach, and the share of these that the windows are to hold.
+TESTED = 256
+RECALL = 0.98
 SEED = 7
 
 
@@ -181,6 +186,52 @@ def ordered(base: DataFrame, curves: Curves, block: int) -> DataFrame:
     )
 
 
+def true_neighbours(base: DataFrame, nearest: int, tested: int, seed: int) -> DataFrame:
+    """``vector_id, other_id``: the nearest vectors of at most ``tested`` queries, each compared with all vectors."""
+    sample = base.filter("asked").select("vector_id", "vector").orderBy(F.xxhash64(F.lit(seed), "vector_id")).limit(tested).collect()
+    names = np.array([row.vector_id for row in sample], np.int64)
+    queries = np.frombuffer(b"".join(bytes(row.vector) for row in sample), "<f8").reshape(len(sample), -1)
+
+    def nearest_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = np.empty((len(names), 0), np.int64), np.empty((len(names), 0))
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            held = batch.column("vector_id").to_numpy()
+            found = queries.dot(_matrix(batch.column("vector")).T)
+            found[names[:, None] == held] = -np.inf
+            ids, scores = np.hstack((ids, np.broadcast_to(held, found.shape))), np.hstack((scores, found))
+            if scores.shape[1] > nearest:
+                best = np.argpartition(-scores, nearest - 1, axis=1)[:, :nearest]
+                ids, scores = np.take_along_axis(ids, best, 1), np.take_along_axis(scores, best, 1)
+        real = np.isfinite(scores)
+        arrays = [np.broadcast_to(names[:, None], ids.shape)[real], ids[real], scores[real]]
+        yield pa.RecordBatch.from_arrays([pa.array(array) for array in arrays], ["vector_id", "other_id", "score"])
+
+    found = base.select("vector_id", "vector").mapInArrow(nearest_in_task, "vector_id BIGINT, other_id BIGINT, score DOUBLE")
+    order = Window.partitionBy("vector_id").orderBy(F.desc("score"), "other_id")
+    return found.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= nearest).select("vector_id", "other_id")
+
+
+def reach_of(places: DataFrame, truth: DataFrame, recall: float) -> int:
+    """The fewest blocks to either side of a query's own with which the windows hold that share of the true neighbours."""
+    asked = places.filter("query").select("vector_id", "curve", F.col("block").alias("own"))
+    held = places.filter("not query").select(F.col("vector_id").alias("other_id"), "curve", "block")
+    apart = (
+        truth.join(asked, "vector_id")
+        .join(held, ["other_id", "curve"])
+        .groupBy("vector_id", "other_id")
+        .agg(F.min(F.abs(F.col("own") - F.col("block"))).alias("reach"))
+    )
+    counts = sorted((row.reach, row["count"]) for row in apart.groupBy("reach").count().collect())
+    wanted, seen = recall * sum(count for _, count in counts), 0
+    for reach, count in counts:
+        seen += count
+        if seen >= wanted:
+            return max(1, reach)
+    return 1
+
+
 def _best(nearest: int):
     kept = nearest + 12
 
@@ -215,13 +266,19 @@ def _best(nearest: int):
 
 
 def nearest_neighbours(
-    vectors: DataFrame, nearest: int = NEAREST, every: int = 20, curves: int = CURVES, block: int = BLOCK, seed: int = SEED
+    vectors: DataFrame,
+    nearest: int = NEAREST,
+    every: int = 20,
+    curves: int = CURVES,
+    block: int = BLOCK,
+    seed: int = SEED,
+    recall: float = RECALL,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest found for each query, a row with ``vec_id`` divisible by ``every``.
 
     ``vectors`` has ``vec_id, embedding``; other columns are dropped. The score is the inner product in double
     precision; ties go to the smaller id. A query's own id is no candidate. Where there are fewer candidates, all
-    are returned. Vectors that are null, zero, hold null or non-finite components, have no id, or are not
+    are returned. The windows grow with the table where ``recall`` asks for it. Vectors that are null, zero, hold null or non-finite components, have no id, or are not
     of the commonest length take no part. Repeated rows count once. An empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -230,7 +287,8 @@ def nearest_neighbours(
     if fitted is None:
         return spark.createDataFrame([], "query_id BIGINT, rank INT, vec_id BIGINT, score DOUBLE")
     places = ordered(base, fitted, block)
-    around = F.when(F.col("query"), F.sequence(F.col("block") - 1, F.col("block") + 1)).otherwise(F.array("block"))
+    reach = reach_of(places, true_neighbours(base, nearest, TESTED, seed), recall)
+    around = F.when(F.col("query"), F.sequence(F.col("block") - reach, F.col("block") + reach)).otherwise(F.array("block"))
     dealt = places.withColumn("block", F.explode(around)).join(base, "vector_id")
     found = (
         dealt.select("curve", "block", "query", "vector_id", "vector", "ids")

@@ -178,6 +178,22 @@ def test_recall_and_order(spark):
     assert set(found) == set(asked) and hits >= 0.9 * 20 * len(asked)
 
 
+def test_recall_holds_where_the_windows_are_a_small_part_of_the_table(spark):
+    """Evenly spread vectors, of which a window of one block to either side holds less than a tenth along each curve."""
+    held = np.random.default_rng(3).normal(size=(4000, 32))
+    held /= np.sqrt((held * held).sum(axis=1))[:, None]
+    frame = spark.createDataFrame([(at, row) for at, row in enumerate(held.tolist())], "vec_id bigint, embedding array<double>")
+    found = defaultdict(set)
+    for row in nearest.nearest_neighbours(frame, curves=4, block=64).collect():
+        found[row.query_id].add(row.vec_id)
+    hits = 0
+    for query in range(0, 4000, 20):
+        scores = held.dot(held[query])
+        scores[query] = -np.inf
+        hits += len(found[query] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.95 * 20 * 200
+
+
 def test_odd_vectors(spark):
     schema = "vec_id bigint, embedding array<float>, rank string, score string"
     good = [(i, [1.0, 0.5], "x", "x") for i in range(60, 0, -1)] + [(0, [2.0, 0.0], "x", "x"), (0, [2.0, 0.0], "x", "x"), (70, [-1.0, 0.0], "x", "x")]
