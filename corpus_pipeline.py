@@ -20,8 +20,11 @@ def _with_text(docs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop rejected documents; take a host's boilerplate lines out of the others."""
-    return _with_text(quality_rules.quality_rules(docs).filter("kept"), docs.columns)
+    """Drop rejected documents; take a host's boilerplate lines out of the others.
+
+    A line in ``MIN_TEXTS`` distinct texts of its host is boilerplate, however many texts the host has.
+    """
+    return _with_text(quality_rules.quality_rules(docs, min_share=0.0).filter("kept"), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import corpus_pipeline
 from corpus_pipeline import STAGES
 from tallyworks.llm.queries import ORACLES, QUERIES
 
@@ -50,3 +51,12 @@ def test_the_pipeline_keeps_what_its_stages_decide(spark, tmp_path):
     stage_tokens = sum(row.length for row in packed)
     tokens = len({row.sequence_id for row in packed}) * 2048
     assert stage_tokens > 0.9 * tokens and {row.doc_id for row in packed} == ids
+
+
+def test_the_pipeline_cuts_boilerplate_of_a_hot_host(spark, documents):
+    """A line in 2 % of a host's texts goes, a line in fewer than ten texts stays, and so does every document."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    texts = {i: own(i) for i in range(1000)}
+    rows = [(i, ("menu line of the site\n" if i < 20 else "a line of few\n" if i < 29 else "") + text, "hot") for i, text in texts.items()]
+    found = {row.doc_id: row.text for row in corpus_pipeline.quality(spark, documents(rows), DATA).collect()}
+    assert found == {i: "a line of few\n" + text if 20 <= i < 29 else text for i, text in texts.items()}
