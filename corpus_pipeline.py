@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyworks.llm import line_dedup, mixing, ngram_join, packing, quality_rules
+from tallyworks.llm.tasks import named
 from tallyworks.storage import Workspace
 
 # The last two stages have no equivalent in SQL; the whole is tested against a brute-force version.
@@ -33,11 +34,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of similar ones. Documents without id are kept."""
-    groups = ngram_join.ngram_join(docs)
-    chosen = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """Keep one document of each group of similar ones: the one with the smallest id, those without id last.
+
+    Each distinct ``(doc_id, text)`` is a document of its own, so rows that share an id or have none are compared like
+    any others. Of rows that repeat a document one stays, chosen by a hash of all columns.
+    """
+    held = docs.withColumn("_node", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    groups = ngram_join.ngram_join(held.select(F.col("_node").alias("doc_id"), "text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_node"))
+    components = groups.select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    chosen = held.select("_node", "doc_id").join(components, "_node").groupBy("component_id").agg(least.alias("least"))
+    repeats = Window.partitionBy("_node").orderBy(F.xxhash64(*named(docs)))
+    kept = held.join(chosen.select("least._node"), "_node", "left_semi").withColumn("_at", F.row_number().over(repeats))
+    return kept.filter("_at = 1").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,13 @@ def test_the_pipeline_cuts_boilerplate_of_a_hot_host(spark, documents):
     rows = [(i, ("menu line of the site\n" if i < 20 else "a line of few\n" if i < 29 else "") + text, "hot") for i, text in texts.items()]
     found = {row.doc_id: row.text for row in corpus_pipeline.quality(spark, documents(rows), DATA).collect()}
     assert found == {i: "a line of few\n" + text if 20 <= i < 29 else text for i, text in texts.items()}
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    """Unlike texts that share an id stay; one of each group of copies stays, with or without ids."""
+    text = lambda name: " ".join(f"{name}{k}" for k in range(30))
+    rows = [(1, text("a")), (1, text("b")), (1, text("a")), (2, text("c")), (None, text("c") + " more"), (3, text("b")), (None, text("d")), (None, text("d")), (None, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = [tuple(row) for row in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()]
+    expected = [(1, text("a")), (1, text("b")), (2, text("c")), (None, text("d")), (None, text("e"))]
+    assert sorted(found, key=str) == sorted(expected, key=str)
