@@ -59,11 +59,19 @@ def targets(sizes: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, most: i
     does this is found by a few sums over the table of sources; only the sums reach the driver.
     """
     weights = [integral(schedule) for schedule in schedules]
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    cycle = (F.row_number().over(order) - 1) % len(weights)
+    by = F.col("source").asc_nulls_last()
+    # Places in order: numbers within range partitions, and the counts of the partitions before.
+    ranged = sizes.repartitionByRange(partitions(sizes.sparkSession), by).withColumn("_task", F.spark_partition_id())
+    ranged = written(ranged, "ranged_sources")
+    counts = ranged.groupBy("_task").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    inside = F.row_number().over(Window.partitionBy("_task").orderBy(by)) - 1
+    sizes = ranged.withColumn("_inside", inside).join(starts, "_task").withColumn("_place", F.col("_from") + F.col("_inside"))
+    cycle = F.col("_place") % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(value)) for value in weights]), (F.col("cycle") + 1).cast("int"))
     placed = sizes.withColumn("cycle", cycle.cast("int")).withColumn("_weight", weight)
-    placed = written(placed, "sources")
+    placed = written(placed.drop("_task", "_inside", "_from", "_place"), "sources")
     ceiling = (most * F.col("source_size")).cast("double")
     total = placed.agg(F.sum("source_size")).first()[0] or 0
     level, capped_before = 0.0, -1

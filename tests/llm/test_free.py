@@ -52,6 +52,17 @@ def test_targets_and_taken_words(spark, documents):
     assert [row.position for row in copies] == sorted(row.position for row in copies)
 
 
+def test_places_of_many_sources(spark, monkeypatch):
+    """Sources get their places in order without one task that sees them all."""
+    names = [f"s{at:04}" for at in range(2000)] + [None]
+    sizes = spark.createDataFrame([(name, 10) for name in names[::-1]], "source string, source_size bigint").repartition(5)
+    plans, write = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda frame, label: plans.append(frame._jdf.queryExecution().analyzed().toString()) or write(frame, label))
+    found = {row.source: row.cycle for row in mixing.targets(sizes).collect()}
+    assert found == {name: at % 3 for at, name in enumerate(names)}
+    assert plans and not any("windowspecdefinition(source" in plan for plan in plans)
+
+
 def test_positions_invert_the_schedule(spark):
     from pyspark.sql import functions as F
 
