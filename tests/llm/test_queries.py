@@ -1,10 +1,18 @@
 """The registered queries against DuckDB, and a guard for the registry."""
 
+import random
+import re
+from collections import Counter, defaultdict
+
 import duckdb
 import pytest
+from test_free import water_filled
+from test_native import repeated
+from test_ngram_join import brute_force
 
 import corpus_pipeline
 from corpus_pipeline import STAGES
+from tallyworks.llm import packing
 from tallyworks.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -70,3 +78,91 @@ def test_near_duplicates_with_repeated_and_missing_ids(spark):
     found = [tuple(row) for row in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()]
     expected = [(1, text("a")), (1, text("b")), (2, text("c")), (None, text("d")), (None, text("e"))]
     assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def normal(line):
+    return " ".join(WORD.findall(line.lower()))
+
+
+def without(text, cut):
+    """The text without its lines at some positions."""
+    return "\n".join(line for at, line in enumerate(text.split("\n")) if at not in cut)
+
+
+def plain_quality(rows):
+    texts = defaultdict(set)
+    for _, text, source in rows:
+        for line in text.split("\n"):
+            texts[source, normal(line)].add(text)
+    left = []
+    for doc_id, text, source in rows:
+        words = WORD.findall(text)
+        lines = [normal(line) for line in text.split("\n")]
+        cut = {at for at, line in enumerate(lines) if line and len(texts[source, line]) >= 10}
+        lost = sum(len(lines[at].split()) for at in cut)
+        if len(words) >= 20 and 100 * repeated(text) <= 30 * len(words) and 2 * (len(words) - lost) >= len(words):
+            left.append((doc_id, without(text, cut), source))
+    return left
+
+
+def plain_lines(rows):
+    sites, first = defaultdict(set), {}
+    for doc_id, text, source in rows:
+        for at, line in enumerate(map(normal, text.split("\n"))):
+            if len(line.split()) >= 4:
+                sites[line].add(source)
+                place = (doc_id is None, doc_id or 0, at)
+                first[line] = min(first.get(line, place), place)
+    left = []
+    for doc_id, text, source in rows:
+        lines = enumerate(map(normal, text.split("\n")))
+        cut = {at for at, line in lines if len(sites[line]) >= 10 and first[line] != (doc_id is None, doc_id or 0, at)}
+        clean = without(text, cut)
+        if not cut or WORD.search(clean):
+            left.append((doc_id, clean, source))
+    return left
+
+
+def plain_near_duplicates(rows):
+    rows = sorted(rows, key=lambda row: (row[0] is None, row[0] or 0, row[1]))
+    return [rows[at] for at, _, component in brute_force(list(enumerate(row[1] for row in rows)), 5, 80) if at == component]
+
+
+def test_the_pipeline_against_brute_force(spark, tmp_path):
+    draw = random.Random(11)
+    text = lambda: "\n".join(" ".join(f"w{draw.randrange(3000)}" for _ in range(draw.randrange(10, 20))) for _ in range(4))
+    rows = [(i, text(), f"s{i % 12}") for i in range(120)]
+    rows += [(200 + i, "Menu  of the site\n" + text(), "s0") for i in range(14)]
+    rows += [(300 + i, text() + "\nall of these sites share this very same line", f"s{i}") for i in range(11)]
+    rows += [(400 + i, re.sub(r"w\d+", "edited", rows[i][1], count=1), "s3") for i in range(20)]
+    rows += [(500 + i, rows[30 + i][1], "s4") for i in range(10)]
+    rows += [(600 + i, "too few words", "s5") for i in range(3)] + [(610, "a b c d e f g h " * 5, "s5")]
+    rows += [(620, "menu of the site\n" + "x y z\n" + "menu of the site " * 8, "s0"), (None, rows[50][1], "s6"), (None, text(), "s6")]
+    draw.shuffle(rows)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    sizes = [len(rows)]
+    for stage in (plain_quality, plain_lines, plain_near_duplicates):
+        rows = stage(rows)
+        sizes.append(len(rows))
+    assert sizes[0] > sizes[1] and sizes[2] > sizes[3]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    copies = Counter(row.doc_id for row in pieces)
+    words = defaultdict(int)
+    for _, held, source in rows:
+        words[source] += len(WORD.findall(held))
+    targets = water_filled(words, {source: 1 + at % 3 for at, source in enumerate(sorted(words))}, 3)
+    taken = defaultdict(int)
+    for doc_id, held, source in rows:
+        rounds = int(targets[source] / words[source] + 1e-9)
+        assert copies[doc_id] in (rounds, min(3, rounds + 1))
+        taken[source] += copies[doc_id] * len(WORD.findall(held))
+    largest = max(len(WORD.findall(held)) for _, held, _ in rows)
+    assert all(abs(taken[source] - targets[source]) <= largest for source in words)
+    assert set(copies) <= {doc_id for doc_id, _, _ in rows}
+    alone = packing.pack_documents(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")).collect()
+    lengths = {row.doc_id: row.length for row in alone}
+    assert len(alone) == len(rows) and all(row.length == lengths[row.doc_id] for row in pieces)
