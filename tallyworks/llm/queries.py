@@ -154,6 +154,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", "clean_text", "cut_lines", "cut_words", "emptied")
 
 
+# Records are dealt by a hash over files of about this size, so that segments lie apart.
+FILE_BYTES = 8 << 20
+
+
 @query(
     """with told as (
          select page_id, coalesce(html, '') as html, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as payload_digest
@@ -166,7 +170,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace.of(spark).path("archives")
-    warc.write_archives(load(spark, sf_dir, "pages"), path)
+    warc.write_archives(load(spark, sf_dir, "pages"), path, file_bytes=FILE_BYTES)
     return warc.read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
