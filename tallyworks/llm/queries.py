@@ -154,8 +154,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", "clean_text", "cut_lines", "cut_words", "emptied")
 
 
-# Records are dealt by a hash over files of about this size, so that segments lie apart.
-FILE_BYTES = 8 << 20
+# Records are dealt by a hash over files of about this size, so that segments lie apart; a file has to fit into a task.
+FILE_BYTES = 256 << 20
 
 
 @query(

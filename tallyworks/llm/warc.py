@@ -12,12 +12,13 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyworks.llm.tasks import for_workers, written
+from tallyworks.llm.tasks import for_workers, partitions, written
 
 # Payloads of this size or more are written once.
 REVISIT_BYTES = 1000
@@ -26,7 +27,11 @@ CHUNK_BYTES = 8 << 10
 # The most that the blocks of one archive take before compression; reading holds an archive whole.
 ARCHIVE_BYTES = 256 << 20
 
+# Copies of one page that one task numbers.
+COPIES = 1000
+
 LINE_END = b"\r\n"
+RECORD_END = LINE_END + LINE_END
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 # Types, profile and version as the format fixes them.
 VERSION = b"WARC/1.1"
@@ -83,30 +88,55 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return LINE_END.join([*lines, b"Content-Length: %d" % len(block), b"", block])
 
 
-def record_rows(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A row per record, ``key`` to deal it out by and ``record`` with its bytes; see ``write_archives``."""
-    for_workers(pages.sparkSession)
+def _told(pages: DataFrame) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
-    told = pages.select(
-        F.col("page_id").cast("bigint"),
-        "url",
-        payload.alias("html"),
-        F.sha1(payload.cast("binary")).alias("digest"),
-        (F.octet_length(payload) >= REVISIT_BYTES).alias("long"),
-    )
-    repeated = told.filter("long").groupBy("digest").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1 and kept_id is not null")
+    digest = F.sha1(payload.cast("binary")).alias("digest")
+    return pages.select(F.col("page_id").cast("bigint"), "url", payload.alias("html"), digest, (F.octet_length(payload) >= REVISIT_BYTES).alias("long"))
+
+
+def _numbered(told: DataFrame, counts: DataFrame) -> DataFrame:
+    """The pages with ``number``, which tells equal ones apart: 0 but for copies.
+
+    Copies are aggregated to one row each before they are shuffled, dealt out again ``COPIES`` at a time, and numbered there.
+    """
+    key = ["page_id", "url", "digest"]
+    copied = counts.filter("n > 1").select(*key)
+    if copied.isEmpty():
+        return told.withColumn("number", F.lit(0).cast("bigint"))
+    on = lambda right: [told[name].eqNullSafe(right[name]) for name in key]
+    single = told.join(copied, on(copied), "left_anti").withColumn("number", F.lit(0).cast("bigint"))
+    groups = told.join(copied, on(copied), "left_semi").groupBy(*key, "long").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+    begins = groups.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(COPIES).cast("bigint"))))
+    dealt = begins.repartition(F.xxhash64(*key, "begin"))
+    numbers = F.sequence(F.col("begin"), F.least(F.col("begin") + COPIES, F.col("n")) - 1)
+    return single.unionByName(dealt.withColumn("number", F.explode(numbers)).drop("n", "begin"))
+
+
+def record_rows(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, packed: bool = False) -> DataFrame:
+    """A row per record, ``key`` to deal it out by and ``record`` with its bytes; see ``write_archives``.
+
+    Record ids are derived from a random value of this call and from the page, so a repeated task
+    makes the same ones, and another call makes others. With ``packed`` every record is a gzip member.
+    """
+    for_workers(pages.sparkSession)
+    told, token = _told(pages), uuid.uuid4().hex
+    # Counts of equal pages, without their payloads; what is repeated is told from these.
+    counts = written(told.groupBy("page_id", "url", "digest", "long").agg(F.count("*").alias("n")), "page_counts")
+    repeated = counts.filter("long").groupBy("digest").agg(F.max("page_id").alias("kept_id"), F.sum("n").alias("n")).filter("n > 1 and kept_id is not null")
     # Written, so that adaptive execution can split the pages of a payload that very many have.
     repeated = written(repeated, "repeated")
-    joined = told.alias("p").join(repeated.alias("r"), (F.col("p.digest") == F.col("r.digest")) & F.col("p.long"), "left")
+    joined = _numbered(told, counts).alias("p").join(repeated.alias("r"), (F.col("p.digest") == F.col("r.digest")) & F.col("p.long"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("kept_id")), F.col("kept_id"))
-    rows = joined.select("page_id", "url", "p.digest", refers.alias("refers_to"), F.when(refers.isNull(), F.col("html")).alias("html"), F.uuid(F.lit(10)).alias("uuid"))
+    rows = joined.select("page_id", "url", "p.digest", "number", refers.alias("refers_to"), F.when(refers.isNull(), F.col("html")).alias("html"))
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 url = None if row["url"] is None else row["url"].replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
                 common = [("WARC-Target-URI", url), ("X-Page-Id", row["page_id"]), ("WARC-Payload-Digest", f"sha1:{row['digest']}")]
-                name = f"<urn:uuid:{row['uuid']}>"
+                own = repr((token, row["page_id"], row["url"], row["digest"], row["number"])).encode("utf-8", "backslashreplace")
+                own_id = uuid.UUID(bytes=hashlib.sha256(own).digest()[:16], version=4)
+                name = f"<urn:uuid:{own_id}>"
                 made = []
                 if row["refers_to"] is not None:
                     fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", row["refers_to"])]
@@ -116,12 +146,14 @@ def record_rows(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, chunk_byte
                     cuts = range(0, len(block), segment_bytes)
                     for number, at in enumerate(cuts, 1):
                         fields = [("WARC-Type", "response" if number == 1 else "continuation")]
-                        fields += [("WARC-Record-ID", name if number == 1 else f"<urn:uuid:{row['uuid']}:{number}>")]
+                        fields += [("WARC-Record-ID", name if number == 1 else f"<urn:uuid:{own_id}:{number}>")]
                         fields += common if number == 1 else [("WARC-Segment-Origin-ID", name)]
                         fields += [("WARC-Segment-Number", number)] if len(cuts) > 1 else []
                         fields += [("WARC-Segment-Total-Length", len(block))] if 1 < number == len(cuts) else []
                         made.append(_record(fields, block[at : at + segment_bytes]))
-                keys = [f"{row['uuid']}:{number}" for number in range(len(made))]
+                keys = [f"{own_id}:{number}" for number in range(len(made))]
+                if packed:
+                    made = [gzip.compress(record + RECORD_END, mtime=0) for record in made]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(made, pa.binary())], ["key", "record"])
 
     return rows.mapInArrow(framed, "key STRING, record BINARY")
@@ -141,21 +173,22 @@ def write_archives(
     ``REVISIT_BYTES`` the one with the largest id is the response and the others are revisits of it. Rows that
     repeat that id with that payload are responses too. A page without id is a revisit where another
     page has its payload, and a response where no page with id has. Null urls are left out, line ends in
-    urls are percent-encoded. Other columns are dropped.
+    urls are percent-encoded. Other columns are dropped. An empty table gives no record.
 
-    Each partition of the pages fills one file after another. A file has so many records that their blocks, of
-    ``segment_bytes`` at most, stay within ``archive_bytes``, however large the partition is. With ``file_bytes`` the
-    records are dealt by a hash over files of about that size before compression, which shuffles them once more. They
-    are written first, so that a repeated task deals out the same ids.
+    Each record is a gzip member, which can be read by itself. Each partition of the pages fills one file after
+    another. A file has so many records that their blocks, of ``segment_bytes`` at most, stay within ``archive_bytes``,
+    however large the partition is. With ``file_bytes`` the records are dealt by a hash over files of about that size
+    before compression, and over as many as the session has shuffle partitions at least.
     """
-    records = record_rows(pages, segment_bytes, chunk_bytes)
+    records = record_rows(pages, segment_bytes, chunk_bytes, packed=True)
     if file_bytes:
         total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-        records = written(records, "records").repartition(max(1, -(-total // file_bytes)), F.xxhash64("key"))
-    # Every record ends with two line ends; its bytes are the line, as they are.
+        records = records.repartition(max(partitions(pages.sparkSession), -(-total // file_bytes)), F.xxhash64("key"))
+    # Bytes are written as they are. The writer wants something between two lines: a member without content.
     lines = records.select(F.col("record").cast("string").alias("value"))
     most = max(1, archive_bytes // segment_bytes)
-    lines.write.option("maxRecordsPerFile", most).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    between = gzip.compress(b"", mtime=0).decode("latin-1")
+    lines.write.option("maxRecordsPerFile", most).option("lineSep", between).option("encoding", "ISO-8859-1").text(path)
 
 
 def parsed(data: bytes) -> Iterator[dict]:
@@ -190,8 +223,8 @@ def parsed(data: bytes) -> Iterator[dict]:
         }
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives at a path, segments as they are. A file is read by one task, so files are to be of bounded size."""
+def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every record of the archives at a path, or at several, segments as they are. A file is read by one task, so files are to be of bounded size."""
     for_workers(spark)
     from pyspark.sql.types import StructType
 
@@ -268,8 +301,8 @@ def reassembled(records: DataFrame) -> DataFrame:
     return whole.unionByName(together).mapInArrow(decoded, schema)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The pages of the archives: ``page_id, url, record_type, refers_to, payload_bytes, payload_digest``.
+def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The pages of the archives: ``page_id, url, record_type, refers_to, payload_bytes, payload_digest``; none of archives without records.
 
     Length and digest are those of the decoded payload; a revisit has those of the response it refers to,
     found by page and digest.

@@ -129,6 +129,27 @@ def test_pages_come_back_whole(spark, tmp_path):
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
+def test_archives_of_two_calls_are_read_together(spark, tmp_path):
+    """Ids of one call are not those of another, and copies of a page all come back."""
+    sets = [[(1, "u", "a" * 4000, "x")], [(2, "u", "b" * 5600, "x"), (1, "u", "a" * 4000, "x")] + [(3, None, "c" * 2500, "x")] * 5 + [(None, None, "short", "x")] * 3]
+    paths = [str(tmp_path / name) for name in "vw"]
+    for path, rows in zip(paths, sets):
+        warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(3), path, segment_bytes=1000, file_bytes=4000)
+    found = warc.read_pages(spark, paths).collect()
+    expected = [(1, 4000), (1, 4000), (2, 5600), *[(3, 2500)] * 5, *[(None, 5)] * 3]
+    assert sorted([(r.page_id, r.payload_bytes) for r in found], key=str) == sorted(expected, key=str)
+    assert {r.record_type for r in found} == {"response"}
+
+
+def test_records_are_made_again_alike(spark, tmp_path):
+    """A repeated task makes the same ids and places, and each record can be read by itself."""
+    rows = [(page, "u", f"page {page // 2} " * 300, "x") for page in range(30)] * 2
+    records = warc.record_rows(spark.createDataFrame(rows, PAGES).repartition(5), segment_bytes=500, packed=True)
+    once, again = ({row.key: bytes(row.record) for row in records.repartition(count).collect()} for count in (3, 7))
+    assert once == again and len(once) > 60
+    assert all(len(list(warc.parsed(record))) == 1 for record in once.values())
+
+
 def test_archives_stay_within_their_size(spark, tmp_path):
     rows = [(page, "u", f"page {page} " * 200, "x") for page in range(40)]
     path = str(tmp_path / "w")
