@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyworks.llm import chat, line_dedup, mixing, nearest, ngram_join, packing, quality_model, quality_rules, sharding, warc
+from tallyworks.llm import (
+    chat, line_dedup, mixing, nearest, ngram_join, packing, periodic, quality_model, quality_rules, sharding, spelling, voronoi, warc,
+)
+from tallyworks.llm.lines import let, words_in
+from tallyworks.llm.tasks import WORD
 from tallyworks.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,3 +195,74 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_neighbours(load(spark, sf_dir, "embeddings"))
+
+
+@query(
+    """with usable as (
+         select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+         where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+       scored as (
+         select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+         from usable q join usable c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+       ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored)
+       select query_id, cast(place as integer) as rank, vec_id, score from ranked where place <= 10"""
+)
+def op11_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.largest_products(load(spark, sf_dir, "embeddings"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """The documents, every tenth by the checksum of its id with a tail that repeats some of its words; without an id, as it is."""
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(checksum / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("bigint")
+
+        def tail(parts: Column) -> Column:
+            a, p = parts["a"], parts["p"]
+            places = F.sequence(F.lit(0).cast("bigint"), n - 1)
+            return F.array_join(F.transform(places, lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+        begin = g % n
+        return let(F.struct(begin.alias("a"), (1 + F.floor((n - begin) / (3 + g % 8))).alias("p")), tail)
+
+    text = F.when((checksum % 10 == 0) & F.regexp_like("text", F.lit(WORD)), let(words_in(F.col("text")), repeated)).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periodic_tails(load(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda run: F.struct(run["length"], -run["start"], -run["period"], run["start"].alias("at"), run["period"].alias("every"))))
+    lines = F.transform("runs", lambda run: F.concat(run["start"], F.lit(","), run["length"], F.lit(","), run["period"], F.lit("\n")))
+    told = found.select("doc_id", "runs", "collapsed", "n_words", longest.alias("longest"), lines.alias("lines"))
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("longest.at").alias("start"),
+        F.col("longest.length").alias("length"),
+        F.col("longest.every").alias("period"),
+        F.expr("1000 * longest.length div longest.every").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def with_lost_letters(runs: DataFrame) -> DataFrame:
+    """The words of ``doc_id, run``, some without one letter by the checksum of document and run; a null id counts as empty."""
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+
+    def word(checksum: Column) -> Column:
+        place = (checksum % F.length("run")).cast("int")
+        cut = F.concat(F.substring(F.col("run"), F.lit(1), place), F.substring(F.col("run"), place + 2, F.length("run")))
+        return F.when(checksum % 199 == 0, cut).otherwise(F.col("run"))
+
+    return runs.select(let(F.crc32(name.cast("binary")), word).alias("word"))
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(load(spark, sf_dir, "documents"))
+    return spelling.spelling_variants(spelling.word_counts(with_lost_letters(runs)))

@@ -21,7 +21,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def oracle():
     connection = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         connection.execute(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
     return connection
 
@@ -54,7 +54,7 @@ def test_segments_of_the_archive_query_lie_apart(spark, tmp_path, monkeypatch):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_the_pipeline_keeps_what_its_stages_decide(spark, tmp_path):
