@@ -3,8 +3,9 @@
 A cell is named by row key, column family and qualifier. Putting a cell again adds a
 version; reading returns the version with the highest ``(ts, seq)``. The table is
 partitioned by a hash of the row key and the catalog knows its partitions, so reading
-one row lists and opens one folder, however large the table is. Values are bytes; text is put
-as its UTF-8 bytes, and ``text_values`` reads it back.
+one row lists and opens one folder, however large the table is. Files carry a bloom filter of their row keys, so a key that a
+file does not have costs its footer and no row group. Values are bytes; text is put
+as its UTF-8 bytes, and ``text_values`` reads it back. Superseded versions stay until the table is compacted.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BinaryType
 
 from tallyworks.operators.tables import quoted
+from tallyworks.storage import Workspace
 
 CELL_KEY = ("row_key", "family", "qualifier")
+# Settings of the files' bloom filters; each is as large as its file's number of keys asks for.
+BLOOM = {"parquet.bloom.filter.enabled#row_key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 CELL_COLUMNS = "row_key STRING, family STRING, qualifier STRING, value BINARY, ts BIGINT, seq BIGINT"
 
 
@@ -38,6 +42,7 @@ def create_cell_table(spark: SparkSession, name: str, families: Sequence[str], b
     held = quoted(json.dumps(list(families)))
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({CELL_COLUMNS}, row_bucket INT) USING parquet "
+        f"OPTIONS ({', '.join(f'{quoted(option)} {quoted(value)}' for option, value in BLOOM.items())}) "
         f"PARTITIONED BY (row_bucket) "
         f"TBLPROPERTIES ('cells.families' = {held}, 'cells.buckets' = '{buckets}')"
     )
@@ -76,6 +81,31 @@ def put_cells(cells: DataFrame, name: str) -> None:
     )
 
 
+def compact_cells(spark: SparkSession, name: str) -> int:
+    """Drop superseded versions of cells, and give the number of folders that were written anew.
+
+    Only folders that hold a cell in several versions are read and replaced, as a whole each; files of the others stay. Reads give the
+    same before and after, also of null values, and a second call does nothing. What is kept is written to the shared folder first, so
+    no folder is replaced by something that is still being read from it. As with any rewrite, no one else may put cells meanwhile.
+    """
+    cells = spark.table(name)
+    versions = cells.groupBy("row_bucket", *CELL_KEY).agg(F.count("*").alias("n")).filter("n > 1")
+    # Folders are as many as the table was created with; their numbers are one each.
+    folders = [row.row_bucket for row in versions.select("row_bucket").distinct().collect()]
+    if not folders:
+        return 0
+    path = Workspace.of(spark).path("compacted")
+    changed = cells.filter(F.col("row_bucket").isin(folders))
+    latest_by(changed, ["row_bucket", *CELL_KEY], ("ts", "seq")).write.parquet(path)
+    # A session of its own, in which an overwrite replaces the folders that it writes to and no others.
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    arranged = own.read.schema(cells.schema).parquet(path).hint("rebalance", "row_bucket").sortWithinPartitions("row_bucket", *CELL_KEY)
+    arranged.select(*cells.columns).write.insertInto(name, overwrite=True)
+    spark.catalog.refreshTable(name)
+    return len(folders)
+
+
 def latest_by(frame: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the highest ``order`` columns for every key.
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyworks.functions.strings import split_pair
-from tallyworks.operators.grouping import count_by, count_words, flag_above, total_by
+from tallyworks.operators.exact import exact_total_by
+from tallyworks.operators.fingerprint import require_copy
+from tallyworks.operators.grouping import count_by, count_words, flag_above
 from tallyworks.plans.contract import read_contract
 from tallyworks.sinks import write_csv, write_tab_text
 from tallyworks.sources import read_csv, read_lines
@@ -25,13 +27,14 @@ WORD_COUNTS = "word STRING, cnt BIGINT"
 
 
 def sales_totals(spark: SparkSession, source: str, target: str) -> None:
-    """Amounts per country, ordered by country, from headed CSV to headed CSV."""
+    """Amounts per country, ordered by country, from headed CSV to headed CSV. Totals are exact, whatever the order of the rows."""
     sales = read_csv(spark, source, SALES)
-    write_csv(total_by(sales, "country", "amount", "total_amount").orderBy("country"), target)
+    write_csv(exact_total_by(sales, "country", "amount", "total_amount").orderBy("country"), target)
 
 
 def exposure_by_desk(positions: DataFrame, limit: float) -> DataFrame:
-    totals = total_by(positions, "desk", "notional", "total_notional")
+    """Totals are exact, so that one at the limit is never taken for one above it."""
+    totals = exact_total_by(positions, "desk", "notional", "total_notional")
     return flag_above(totals, "total_notional", limit).orderBy("desk")
 
 
@@ -67,13 +70,23 @@ def line_key_count(spark: SparkSession, source: str, target: str) -> None:
     write_tab_text(count_by(pairs, "k"), target)
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Convert headed CSV to Parquet with every column a string, and read it back."""
-    read_csv(spark, source).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+def csv_to_parquet(spark: SparkSession, source: str, target: str, verified: bool = False) -> DataFrame:
+    """Convert headed CSV to Parquet with every column a string, and read it back; ``verified`` as in ``copied``."""
+    return copied(read_csv(spark, source), target, verified)
 
 
-def table_to_parquet(spark: SparkSession, table: str, target: str) -> DataFrame:
-    """Copy a catalog table to Parquet files and read them back."""
-    spark.table(table).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+def table_to_parquet(spark: SparkSession, table: str, target: str, verified: bool = False) -> DataFrame:
+    """Copy a catalog table to Parquet files and read them back; ``verified`` as in ``copied``."""
+    return copied(spark.table(table), target, verified)
+
+
+def copied(source: DataFrame, target: str, verified: bool = False) -> DataFrame:
+    """A frame written as Parquet, replacing what lies at the target, and read back.
+
+    With ``verified`` source and copy are read once more, and it fails when they are not the same rows, in any order.
+    """
+    source.write.mode("overwrite").parquet(target)
+    copy = source.sparkSession.read.parquet(target)
+    if verified:
+        require_copy(source, copy)
+    return copy

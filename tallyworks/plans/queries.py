@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyworks.functions.strings import register_to_upper, split_pair, store_to_upper
-from tallyworks.operators import cells, grouping, selection, tables
+from tallyworks.operators import cells, definitions, fingerprint, grouping, selection, tables
 from tallyworks.plans import adhoc, contract, jobs
-from tallyworks.sinks import write_csv, write_lines, write_tab_text
-from tallyworks.sources import read_csv, read_lines, read_tab_text, table_files
+from tallyworks.sinks import write_csv, write_lines, write_records, write_tab_text
+from tallyworks.sources import list_tree, read_csv, read_lines, read_records, read_tab_text, table_files
 from tallyworks.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,17 +103,22 @@ def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Jobs from files to files
 
 
-@query(
-    """select o_orderpriority as country, round(sum(o_totalprice), 2) as total_amount
-       from orders group by o_orderpriority"""
-)
+def exact_sum_sql(key: str, value: str, table: str) -> str:
+    """SQL for ``key, total``: doubles between 2**-7 and 2**40 in size added as whole numbers of units, and rounded once, ties to even."""
+    return f"""
+        (with units as (select {key} as key, sum(cast({value} * pow(2.0, 60) as hugeint)) as held from {table} group by 1),
+              sized as (select key, held, abs(held) as size, greatest(0, cast(floor(log2(greatest(cast(abs(held) as double), 1.0))) as integer) - 60) as cut from units),
+              cut_off as (select key, held, cut, (size >> cut) | (case when ((size >> cut) << cut) <> size then 1 else 0 end) as kept from sized)
+         select key, (case when held < 0 then -1 else 1 end) * cast(cast(kept as bigint) as double) * pow(2.0, cut - 60) as total from cut_off)"""
+
+
+@query(f"select key as country, total as total_amount from {exact_sum_sql('o_orderpriority', 'o_totalprice', 'orders')}")
 def sales_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace.of(spark)
     source, target = work.path("sales"), work.path("sales_totals")
     write_csv(load(spark, sf_dir, "orders").selectExpr("o_orderpriority as country", "o_totalprice as amount"), source)
     jobs.sales_totals(spark, source, target)
-    result = read_csv(spark, target, jobs.SALES_TOTALS)
-    return result.select("country", F.round("total_amount", 2).alias("total_amount"))
+    return read_csv(spark, target, jobs.SALES_TOTALS)
 
 
 def _publish_positions(spark: SparkSession, sf_dir: str) -> str:
@@ -125,25 +130,22 @@ def _publish_positions(spark: SparkSession, sf_dir: str) -> str:
     return source
 
 
-EXPOSURE_SQL = f"""select c_mktsegment as desk, round(sum(c_acctbal), 2) as total_notional,
-                          sum(c_acctbal) > {EXPOSURE_LIMIT} as limit_breached
-                   from customer group by c_mktsegment"""
+EXPOSURE_SQL = f"""select key as desk, total as total_notional, total > {EXPOSURE_LIMIT} as limit_breached
+                   from {exact_sum_sql('c_mktsegment', 'c_acctbal', 'customer')}"""
 
 
 @query(EXPOSURE_SQL)
 def exposure_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = _publish_positions(spark, sf_dir), Workspace.of(spark).path("exposure")
     jobs.exposure_check(spark, source, target, EXPOSURE_LIMIT)
-    result = read_csv(spark, target, jobs.EXPOSURE)
-    return result.withColumn("total_notional", F.round("total_notional", 2))
+    return read_csv(spark, target, jobs.EXPOSURE)
 
 
 @query(EXPOSURE_SQL)
 def exposure_contract_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = _publish_positions(spark, sf_dir), Workspace.of(spark).path("exposure")
     jobs.exposure_check(spark, source, target, EXPOSURE_LIMIT, under_contract=True)
-    result = read_csv(spark, target, jobs.EXPOSURE)
-    return result.withColumn("total_notional", F.round("total_notional", 2))
+    return read_csv(spark, target, jobs.EXPOSURE)
 
 
 @query("select * from customer")
@@ -153,6 +155,43 @@ def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.read_contract(spark, source, CUSTOMER, strict_values=True)
 
 
+CUSTOMER_HEADER = "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment"
+
+
+def _lines_under(header: str, lines: DataFrame, path: str) -> None:
+    """Add files whose first line is the header to a folder; lines are written as they are."""
+    options = {"header": True, "sep": "\x01", "quote": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.toDF(header).write.mode("append").options(**options).csv(path)
+
+
+@query(
+    """with told as (
+         select *, cast(c_custkey as varchar) || ',' || c_name || ',' || cast(c_nationkey as varchar) as begin, c_custkey % 10 as fault from customer),
+       lines as (
+         select *, case fault when 3 then begin || ',n/a,' || c_mktsegment when 5 then begin || ',' || cast(c_acctbal as varchar)
+                              when 7 then begin || ',' || cast(c_acctbal as varchar) || ',' || c_mktsegment || ',more'
+                              else c_name || ',' || cast(c_custkey as varchar) end as line from told)
+       select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, cast(null as varchar) as line, cast(null as varchar) as reason
+       from lines where fault not in (3, 5, 7, 9)
+       union all
+       select null, null, null, null, null, line,
+              case fault when 3 then 'c_acctbal is no DOUBLE' when 5 then '4 fields instead of 5' when 7 then '6 fields instead of 5' else 'under another header' end
+       from lines where fault in (3, 5, 7, 9)"""
+)
+def contract_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in files of lines, four in ten of which drifted in one of four ways."""
+    source, customer = Workspace.of(spark).path("customer"), load(spark, sf_dir, "customer").withColumn("fault", F.expr("c_custkey % 10"))
+    begin, balance = ["c_custkey", "c_name", "c_nationkey"], F.when(F.col("fault") == 3, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    segment = F.when(F.col("fault") != 5, F.col("c_mktsegment"))
+    more = F.when(F.col("fault") == 7, "more")
+    _lines_under(CUSTOMER_HEADER, customer.filter("fault <> 9").select(F.concat_ws(",", *begin, balance, segment, more)), source)
+    _lines_under("c_name,c_custkey", customer.filter("fault = 9").select(F.concat_ws(",", "c_name", "c_custkey")), source)
+    rows = contract.contract_rows(spark, source, CUSTOMER)
+    told = rows.withColumn("line", F.col("drift.line")).withColumn("reason", F.col("drift.reason")).drop("drift")
+    # One header for each file that has another one, of which there are as many as tasks wrote.
+    return told.filter("reason is null or reason <> 'another header'")
+
+
 @query(
     r"""select word, count(*) as cnt
         from (select unnest(regexp_split_to_array(text, '[ \t\n\r\f]+')) as word from conversations)
@@ -188,6 +227,14 @@ def line_key_count_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources and sinks
 
 
+@query("select doc_id, text, lang, source, n_chars from documents")
+def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as CSV, their line ends inside quoted values, read back whole."""
+    path = Workspace.of(spark).path("documents")
+    write_records(load(spark, sf_dir, "documents"), path)
+    return read_records(spark, path, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+
+
 @query("select * from customer")
 def typed_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = Workspace.of(spark).path("customer")
@@ -278,13 +325,31 @@ def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select 'event_type=' || event_type || '/' as path, true as is_dir, cast(0 as bigint) as n_rows from events group by event_type
-       union all select 'event_type=' || event_type || '/*', false, count(*) from events group by event_type"""
+    """with lines as (
+         select 'l_returnflag=' || l_returnflag || '/' as one, 'l_linestatus=' || l_linestatus || '/' as two,
+                'year=' || cast(year(l_shipdate) as varchar) || '/' as three,
+                strlen(cast(l_orderkey as varchar) || ' ' || cast(l_linenumber as varchar)) + 1 as len from lineitem),
+       nodes as (
+         select one as path, 1 as depth, true as is_dir, len from lines union all select one || two, 2, true, len from lines
+         union all select one || two || three, 3, true, len from lines
+         union all select one || two || three || 'part', 4, false, len from lines)
+       select path, depth, is_dir, cast(sum(len) as bigint) as len, count(*) as n_rows, true as has_files, true as in_order
+       from nodes group by path, depth, is_dir"""
 )
 def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _events_in_folders(spark, sf_dir).groupBy("folder").agg(F.sum("rows").alias("n_rows"))
-    return files.selectExpr(
-        "stack(2, concat(folder, '/'), true, cast(0 as bigint), concat(folder, '/*'), false, n_rows) as (path, is_dir, n_rows)"
+    """Lines of text in folders of three levels: bytes and rows of all folders, and of the files of each."""
+    root = Workspace.of(spark).path("tree")
+    lines = load(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag", "l_linestatus", "year(l_shipdate) as year", "concat(l_orderkey, ' ', l_linenumber) as value"
+    )
+    lines.write.partitionBy("l_returnflag", "l_linestatus", "year").text(root)
+    tree = list_tree(spark, root)
+    # Files have names of their own for every task that wrote some; here they are added up under one name.
+    return (
+        tree.withColumn("path", F.regexp_replace("path", "/part-[^/]*$", "/part"))
+        .withColumn("in_order", F.col("is_dir") == F.endswith("path", F.lit("/")))
+        .groupBy("path", "depth", "is_dir")
+        .agg(F.sum("len").alias("len"), F.sum("rows").alias("n_rows"), (F.min("files") > 0).alias("has_files"), F.bool_and("in_order").alias("in_order"))
     )
 
 
@@ -358,6 +423,44 @@ def sample_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load_people(spark, table, people)
 
 
+@query("select p_partkey, upper(p_name) as val, p_size from part")
+def kept_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partitioned table and a function that the catalog forgets, and that their kept definitions bring back."""
+    work = Workspace.of(spark)
+    root, table = work.path("kept"), work.table("part")
+    spark.sql(f"CREATE TABLE {table} (p_partkey BIGINT, p_name STRING, p_size INT) USING parquet PARTITIONED BY (p_size) LOCATION '{root}/part'")
+    definitions.keep_table(spark, root, table)
+    function = f"{table.split('.')[0]}.shout_{table.rsplit('_', 1)[1]}"
+    definitions.keep_function(spark, root, function, "s STRING", "STRING", "upper(s)")
+    load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").write.insertInto(table)
+    tables.drop_table(spark, table)
+    spark.sql(f"DROP FUNCTION {function}")
+    definitions.replay(spark, root)
+    return spark.sql(f"SELECT p_partkey, {function}(p_name) AS val, p_size FROM {table}")
+
+
+@query(
+    """select count(*) as n_rows, true as same, false as same_without_one, false as same_with_one_twice, false as same_with_values_swapped
+       from lineitem"""
+)
+def verified_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy that is checked, and what the check says of it without a row, with a row twice, and with two values in each other's rows."""
+    source = load(spark, sf_dir, "lineitem")
+    copy = jobs.copied(source, Workspace.of(spark).path("lineitem"), verified=True)
+    names = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+    ends = source.agg(F.min(F.struct(*names)).alias("least"), F.max(F.struct(*names)).alias("most")).first()
+    one, two = ((F.col(names[0]) == row[0]) & (F.col(names[1]) == row[1]) & (F.col(names[2]) == row[2]) for row in (ends.least, ends.most))
+    swapped = F.when(one, ends.most.l_extendedprice).when(two, ends.least.l_extendedprice).otherwise(F.col("l_extendedprice"))
+    frames = {
+        "same": copy,
+        "same_without_one": copy.filter(~one),
+        "same_with_one_twice": copy.unionByName(copy.filter(one)),
+        "same_with_values_swapped": copy.withColumn("l_extendedprice", swapped),
+    }
+    told = {name: fingerprint.same_rows(source, frame) for name, frame in frames.items()}
+    return copy.agg(F.count("*").alias("n_rows"), *[F.lit(same).alias(name) for name, same in told.items()])
+
+
 # Functions, projections and selections
 
 
@@ -457,6 +560,15 @@ def cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.text_values(cells.latest_cells(spark.table(_put_customers(spark, sf_dir))))
 
 
+@query(f"select *, count(*) over () as versions from ({CUSTOMER_CELLS_SQL})")
+def compacted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads give after superseded versions were dropped, and how many versions there are then."""
+    table = _put_customers(spark, sf_dir)
+    cells.compact_cells(spark, table)
+    left = spark.table(table).count()
+    return cells.text_values(cells.latest_cells(spark.table(table))).withColumn("versions", F.lit(left).cast("bigint"))
+
+
 @query(
     """select user_id, event_type, value from events
        qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1"""
@@ -485,3 +597,28 @@ def sql_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT l_returnflag, l_linestatus, count(*) AS c FROM {lineitem} GROUP BY l_returnflag, l_linestatus",
         lineitem=load(spark, sf_dir, "lineitem"),
     )
+
+
+@query(
+    """select l_orderkey as first, l_quantity as second, case when l_linenumber > 3 then l_returnflag end as third,
+              l_partkey as in_struct, l_suppkey as in_array, 5 as n_values, l_linenumber > 3 as third_is_known
+       from lineitem"""
+)
+def positional_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of values by position, two of one name, with nulls, a struct and an array; taken apart again."""
+    rows = adhoc.positional_rows(
+        spark,
+        """SELECT l_orderkey AS v, l_quantity AS v, if(l_linenumber > 3, l_returnflag, NULL) AS flag,
+                  named_struct('part', l_partkey, 'more', array(l_suppkey, NULL)) AS held, l_linenumber > 3 AS known
+           FROM {lineitem}""",
+        lineitem=load(spark, sf_dir, "lineitem"),
+    )
+    return rows.selectExpr(
+        "variant_get(row[0], '$', 'bigint') as first",
+        "variant_get(row[1], '$', 'double') as second",
+        "variant_get(row[2], '$', 'string') as third",
+        "variant_get(row[3], '$.part', 'bigint') as in_struct",
+        "variant_get(row[3], '$.more[0]', 'bigint') as in_array",
+        "size(row) as n_values",
+        "variant_get(row[4], '$', 'boolean') as third_is_known",
+    )

@@ -31,3 +31,12 @@ def write_lines(frame: DataFrame, path: str) -> None:
     A null has no line; a value with line ends becomes several lines.
     """
     frame.filter(F.col(f"`{frame.columns[0]}`").isNotNull()).write.mode("overwrite").text(path)
+
+
+def write_records(frame: DataFrame, path: str, header: bool = True) -> None:
+    """Comma-separated files whose values are kept as they are, line ends and outer blanks included, replacing what lies at the path.
+
+    Quotes are doubled; a null is an empty field and an empty text a quoted one. ``read_records`` reads them.
+    """
+    options = {"header": header, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    frame.write.mode("overwrite").options(**options).csv(path)

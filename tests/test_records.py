@@ -1,0 +1,194 @@
+"""CSV records with line ends in values, listings as trees, contracts that tell drift, and checked copies."""
+
+import random
+
+import duckdb
+import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tallyworks.operators import fingerprint
+from tallyworks.plans import adhoc, jobs
+from tallyworks.plans.contract import contract_rows, split_contract
+from tallyworks.sinks import write_records
+from tallyworks.sources import list_tree, read_records
+from tallyworks.storage import Workspace
+
+FIELDS = "i int, t string, d double, u string"
+
+
+def rows(frame):
+    return sorted(map(tuple, frame.collect()), key=repr)
+
+
+@pytest.fixture
+def small_splits(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20000")
+    yield spark
+    spark.conf.set(name, before)
+
+
+def odd_values(count):
+    draw = random.Random(2)
+    texts = [None, "", "plain", " lead", "x\ny", "a\r\nb\r", '"q"', 'say "hi"\n"x",,\n\\', "\\", '\\"\n', "\n", "\n\n,", "é漢\r"]
+    for number in range(count):
+        text = draw.choice(texts)
+        if text is not None and draw.random() < 0.5:
+            text += "".join(draw.choice(list('a "\n\r\\,b')) for _ in range(draw.randrange(14)))
+        yield (number, text, draw.random() * 100 if draw.random() < 0.9 else None, draw.choice(["z", None, ""]))
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_records_come_back_whole(small_splits, files):
+    """Quotes, line ends of both kinds, empty texts and nulls, in one file of many splits too."""
+    held = list(odd_values(4000))
+    frame, path = small_splits.createDataFrame(held, FIELDS), Workspace.of(small_splits).path("records")
+    write_records(frame.repartition(files), path)
+    back = read_records(small_splits, path, FIELDS)
+    assert small_splits.read.text(path).rdd.getNumPartitions() > files
+    assert rows(back) == rows(frame) and fingerprint.same_rows(frame, back)
+    texts = read_records(small_splits, path)
+    assert texts.columns == ["i", "t", "d", "u"] and {kind for _, kind in texts.dtypes} == {"string"}
+
+
+def test_backslashes_before_quotes(small_splits):
+    """The dialect of ``write_csv``, against the reader that gives a file to one task."""
+    held = [row for row in odd_values(3000) if row[1] and row[1] == row[1].strip() and "\r" not in row[1]]
+    path = Workspace.of(small_splits).path("records")
+    small_splits.createDataFrame(held, FIELDS).write.option("header", True).csv(path)
+    whole = small_splits.read.option("multiLine", True).option("header", True).schema(FIELDS).csv(path).select("i", "t", "d")
+    assert rows(read_records(small_splits, path, FIELDS, escape="\\").select("i", "t", "d")) == rows(whole)
+
+
+def test_records_without_header_blank_lines_and_short_rows(spark, folder):
+    path = folder("a.csv", '1,"x\r\ny",2.5,"",\r\n\r\n2,,\n   \n3,"a""b",z,w')
+    assert rows(read_records(spark, path, FIELDS, header=False)) == [(1, "x\r\ny", 2.5, ""), (2, None, None, None), (3, 'a"b', None, "w")]
+    assert read_records(spark, folder("h.csv", "i,t,d,u\n"), FIELDS).collect() == []
+
+
+def test_unclosed_values_are_refused(small_splits, folder):
+    with pytest.raises((Py4JJavaError, PySparkException), match="ends inside"):
+        read_records(small_splits, folder("a.csv", 'i,t,d,u\n1,"x\n2,y,,\n'), FIELDS).collect()
+    long = 'i,t,d,u\n1,"' + "x\n" * 40_000 + '",,\n'
+    with pytest.raises((Py4JJavaError, PySparkException), match="whole split"):
+        read_records(small_splits, folder("b.csv", long), FIELDS).collect()
+    with pytest.raises(ValueError):
+        read_records(small_splits, folder("c.csv", "i,t,d,u\n"), FIELDS, escape="/")
+
+
+def test_a_tree_of_three_levels(spark):
+    root = Workspace.of(spark).path("tree")
+    frame = spark.range(600).selectExpr("id % 3 as a", "id % 2 as b", "id % 5 as c", "repeat('x', cast(id % 7 as int)) as value")
+    frame.repartition(2).write.partitionBy("a", "b", "c").text(root)
+    tree = list_tree(spark, root).collect()
+    paths = [row.path for row in tree]
+    assert paths == sorted(paths, key=lambda path: path.rstrip("/").split("/"))
+    assert all(row.is_dir == row.path.endswith("/") and row.depth == len(row.path.rstrip("/").split("/")) for row in tree)
+    oracle = duckdb.connect()
+    oracle.execute("create view t as select id % 3 as a, id % 2 as b, id % 5 as c, id % 7 + 1 as len from range(600) r(id)")
+    for depth, names in ((1, ["a"]), (2, ["a", "b"]), (3, ["a", "b", "c"])):
+        path = " || ".join(f"'{name}=' || {name} || '/'" for name in names)
+        expected = oracle.execute(f"select {path}, cast(sum(len) as bigint), count(*) from t group by all").fetchall()
+        assert sorted((row.path, row.len, row.rows) for row in tree if row.depth == depth) == sorted(expected)
+    files = [row for row in tree if not row.is_dir]
+    assert all(row.files == 1 and row.depth == 4 for row in files)
+    assert sum(row.files for row in tree if row.depth == 1) == len(files) and sum(row.len for row in files) == sum(id % 7 + 1 for id in range(600))
+    below = [row for row in tree if row.path.startswith("a=1/b=0/")]
+    assert below == list_tree_below(tree, "a=1/b=0/")
+
+
+def list_tree_below(tree, path):
+    """A folder comes right before all that it holds."""
+    at = next(place for place, row in enumerate(tree) if row.path == path)
+    end = at + 1
+    while end < len(tree) and tree[end].path.startswith(path):
+        end += 1
+    return tree[at:end]
+
+
+def test_a_missing_root_is_empty(spark, tmp_path):
+    found = list_tree(spark, str(tmp_path / "none"))
+    assert found.collect() == [] and found.columns == ["path", "depth", "is_dir", "files", "len", "rows"]
+
+
+CONTRACT = "id INT, name STRING, amt DOUBLE"
+
+
+def test_drift_is_told_by_file_line_and_reason(spark, folder):
+    good = "id,name,amt\n" + "".join(f"{number},n{number},{number}.5\n" for number in range(50))
+    for number in range(4):
+        folder(f"in/good-{number}.csv", good)
+    folder("in/only-a-header.csv", "id,name,amt\n")
+    folder("in/faults.csv", 'id,name,amt\n1,x,2.5\n2,"a,b",zz\n3,y\n\n4,"q\\"",1,2\n5,,\nsix,s,1\nid,name,amt\n')
+    folder("in/other.csv", "id,amt,name\n1,2.0,x\n")
+    path = folder("in/Case.csv", "Id,name,amt\n9,x,1\n").rsplit("/", 1)[0]
+    held, drift = split_contract(spark, path, CONTRACT)
+    expected = [(number, f"n{number}", number + 0.5) for number in range(50)] * 4 + [(1, "x", 2.5), (5, None, None)]
+    assert rows(held) == sorted(expected, key=repr)
+    told = [
+        ("Case.csv", "9,x,1", "under another header"),
+        ("Case.csv", "Id,name,amt", "another header"),
+        ("faults.csv", '2,"a,b",zz', "amt is no DOUBLE"),
+        ("faults.csv", "3,y", "2 fields instead of 3"),
+        ("faults.csv", '4,"q\\"",1,2', "4 fields instead of 3"),
+        ("faults.csv", "id,name,amt", "id is no INT"),
+        ("faults.csv", "six,s,1", "id is no INT"),
+        ("other.csv", "1,2.0,x", "under another header"),
+        ("other.csv", "id,amt,name", "another header"),
+    ]
+    assert sorted((row.file.rsplit("/", 1)[1], row.line, row.reason) for row in drift.collect()) == sorted(told)
+    assert all(row.id is None for row in contract_rows(spark, path, CONTRACT).filter("drift is not null").collect())
+    # Whatever is selected, every column is checked.
+    assert sorted(row.id for row in held.select("id").collect()) == sorted(row[0] for row in expected)
+    assert sum(row.id is not None for row in contract_rows(spark, path, CONTRACT).select("id").collect()) == len(expected)
+    folder("in/empty.csv", "")
+    with pytest.raises(ValueError, match="no header"):
+        contract_rows(spark, path, CONTRACT)
+
+
+def test_fingerprints_tell_multisets_apart(spark):
+    held = [(1, "a", None, 1.0, [1, None], {"k": 1}), (2, None, "b", 0.0, [], None), (2, None, "b", 0.0, [], None), (3, "", "b", float("nan"), None, {"k": 2, "l": None})]
+    schema = "i int, s string, t string, d double, a array<int>, m map<string, int>"
+    frame = lambda some: spark.createDataFrame(some, schema)
+    one = frame(held)
+    assert fingerprint.same_rows(one, frame(held[::-1]).repartition(3))
+    assert fingerprint.same_rows(one, frame([(1, "a", None, 1.0, [1, None], {"k": 1}), (2, None, "b", -0.0, [], None), *held[2:]]))
+    others = [
+        held[1:],
+        held[:3],
+        [*held, held[0]],
+        [(1, None, "a", 1.0, [1, None], {"k": 1}), *held[1:]],
+        [(2, "a", None, 1.0, [1, None], {"k": 1}), (1, None, "b", 0.0, [], None), *held[2:]],
+        [(1, "a", None, 1.0, [None, 1], {"k": 1}), *held[1:]],
+        [(1, "a", None, 1.0, [1, None], {"l": 1}), *held[1:]],
+        [*held[:3], (3, None, "b", float("nan"), None, {"k": 2, "l": None})],
+        [held[0], held[1], (2, None, "b", 0.0, None, None), held[3]],
+    ]
+    assert not any(fingerprint.same_rows(one, frame(other)) for other in others)
+    assert fingerprint.fingerprint(frame([])).first().rows == 0 and fingerprint.same_rows(frame([]), one.limit(0))
+
+
+def test_a_copy_that_lost_a_row_fails(spark, tmp_path):
+    frame = spark.range(100)
+    assert jobs.copied(frame, str(tmp_path / "copy"), verified=True).count() == 100
+    with pytest.raises(ValueError, match="99 rows and the source 100"):
+        fingerprint.require_copy(frame, frame.filter("id <> 7"))
+    with pytest.raises(ValueError, match="other rows"):
+        fingerprint.require_copy(frame, frame.select(F.when(F.col("id") == 7, 8).otherwise(F.col("id"))))
+
+
+def test_positional_rows_of_any_types(spark):
+    found = adhoc.positional_rows(
+        spark,
+        "SELECT 1 AS a, 'x' AS a, NULL AS n, named_struct('p', 1.5D, 'q', array(1, NULL)) AS s, map(1, 'z') AS m, interval 3 days AS i,"
+        " cast(NULL AS struct<p: int>) AS t, array(map('k', named_struct('x', interval 1 month))) AS deep",
+    )
+    assert found.dtypes == [("row", "array<variant>")]
+    text = found.selectExpr("to_json(row) as t").first().t
+    assert text == '[1,"x",null,{"p":1.5,"q":[1,null]},{"1":"z"},"INTERVAL \'3\' DAY",null,[{"k":{"x":"INTERVAL \'1\' MONTH"}}]]'
+    assert adhoc.positional_rows(spark, "SELECT 1 AS v LIMIT 0").collect() == []
+    with pytest.raises(ValueError):
+        adhoc.positional_rows(spark, " ")

@@ -13,6 +13,8 @@ from tallyworks.storage import Workspace
 
 DATA = "/root/testdata/sf0.001"
 PYTHON_NODES = ("EvalPython", "InPandas", "InArrow", "ExistingRDD")
+# Queries that need a table of files or splits beside the rows: a row per file with another header, and a row per split.
+JOINED = ("contract_drift", "csv_records")
 JOIN_NODES = ("CartesianProduct", "NestedLoopJoin", "BroadcastExchange", "MergeJoin", "HashJoin")
 
 
@@ -33,8 +35,9 @@ def test_plans_stay_in_the_jvm_and_spread(spark, name):
     result.write.format("noop").mode("overwrite").save()
     ran = [text for number, text in executions(spark).items() if number not in before]
     assert ran
+    refused = PYTHON_NODES + (("CartesianProduct", "NestedLoopJoin") if name in JOINED else JOIN_NODES)
     for text in [*ran, plan(result)]:
-        assert not any(node in text for node in PYTHON_NODES + JOIN_NODES), text
+        assert not any(node in text for node in refused), text
         # One task may only finish a keyless aggregate or a limit, over what each task left.
         for line, below in zip(text.splitlines(), text.splitlines()[1:]):
             if "Exchange SinglePartition" in line:
