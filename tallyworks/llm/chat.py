@@ -76,6 +76,9 @@ def format_chats(turns: DataFrame, learned: str = "assistant") -> DataFrame:
     ``turn`` number; ``attached_tokens``. Turns are ordered by ``turn`` with null first; turns of
     the same number, by role and content. Null role is empty, null ``conv_id`` is a conversation, repeated
     rows are repeated turns. Other columns are dropped. An empty table gives an empty one.
+
+    A conversation becomes one string, so all its turns, also those of the null one, have to fit into a row, and so into a task: up to
+    2 GiB by Spark's limit for a value. A table of more turns without an id than that has to be given ids first.
     """
     rows = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), visited(F.col("parts")).alias("content"), attached(F.col("parts")).alias("held")
@@ -109,24 +112,40 @@ def format_chats(turns: DataFrame, learned: str = "assistant") -> DataFrame:
 def read_turns(formatted: Column, contents: Column) -> Column:
     """The turns of a formatted conversation: ``role``, ``text`` and ``loss``, placeholders left out.
 
-    The string is cut at its marks and each text unescaped. A turn is under the loss mask when
-    ``contents`` says so for the very place where its content was found.
+    Roles are found by cutting the string at its marks. The text of a turn is the part of the string that ``contents`` gives by start and
+    length, unescaped. Where every place is the one after the marks that were found, which is compared turn by turn, that
+    part is at hand; else each is cut out of the whole string.
     """
     chunks = F.slice(F.split(formatted, r"<\|end\|>"), F.lit(1), F.size(contents))
 
-    def read(chunk: Column, place: Column) -> Column:
-        content = F.substring_index(chunk, TEXT, -1)
-        head = F.replace(F.substring_index(chunk, TEXT, 1), F.lit(TURN), F.lit(""))
-        plain = F.regexp_replace(content, r"<\|(image|audio|document)\|>", "")
-        whole = F.length(content) == place["length"]
-        return F.struct(unescaped(head).alias("role"), unescaped(plain).alias("text"), (whole & place["loss"]).alias("loss"))
+    def head_of(chunk: Column) -> Column:
+        return F.substring_index(chunk, TEXT, 1)
+
+    def follows(chunk: Column, at: Column) -> Column:
+        place, before = F.get(contents, at), F.get(contents, at - 1)
+        begin = F.when(at == 0, F.lit(0)).otherwise(before["start"] + before["length"] + len(END))
+        begin = begin + F.length(head_of(chunk)) + len(TEXT)
+        return (place["start"] == begin) & (place["length"] == F.length(chunk) - F.length(head_of(chunk)) - len(TEXT))
+
+    def plain(content: Column) -> Column:
+        return unescaped(F.regexp_replace(content, r"<\|(image|audio|document)\|>", ""))
+
+    def read(cut: bool) -> Column:
+        def turn(chunk: Column, place: Column) -> Column:
+            role = unescaped(F.replace(head_of(chunk), F.lit(TURN), F.lit("")))
+            own = F.substring_index(chunk, TEXT, -1)
+            content = own if not cut else F.substring(formatted, (place["start"] + 1).cast("int"), place["length"].cast("int"))
+            return F.struct(role.alias("role"), plain(content).alias("text"), place["loss"].alias("loss"))
+
+        return F.zip_with(chunks, contents, turn)
 
-    return F.zip_with(chunks, contents, read)
+    in_place = F.forall(F.transform(chunks, follows), lambda found: F.coalesce(found, F.lit(False)))
+    return F.when(in_place & (F.size(chunks) == F.size(contents)), read(False)).otherwise(read(True))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``conv_id`` and what its formatted string says: turns, digests of them and of the text under the loss mask."""
-    turns = formatted.select("conv_id", "formatted", read_turns(F.col("formatted"), F.col("contents")).alias("turns"))
+    """``conv_id`` and what its formatted string says: turns, digests of them and of the text under the loss mask, and its attachments."""
+    turns = formatted.select("conv_id", "formatted", "attachments", "attached_tokens", read_turns(F.col("formatted"), F.col("contents")).alias("turns"))
     said = F.array_join(F.transform("turns", lambda turn: F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda turn: turn["loss"]), lambda turn: turn["text"]), "")
     return turns.select(
@@ -136,4 +155,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
         F.length(loss).cast("bigint").alias("loss_chars"),
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
+        F.size("attachments").cast("bigint").alias("n_attachments"),
+        "attached_tokens",
     )

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 # Separators between words; a fixed value.
 _SEPARATORS = np.zeros(256, bool)
@@ -14,6 +15,8 @@ _SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 20
+# Words of more bytes are hashed one by one.
+_LONG = 64
 _PLACES = tuple(np.uint64(odd) for odd in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 
 
@@ -27,23 +30,11 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit number per byte: of the byte, and of its lower-case form for A to Z."""
-    cased = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-    lowered = cased.copy()
-    lowered[65:91] = cased[97:123]
-    return cased, lowered
-
-
-@lru_cache(4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the base and of its inverse, modulo 2**64."""
-    def powers(of: int) -> np.ndarray:
-        run = np.full(size, of & (2**64 - 1), np.uint64)
-        run[0] = 1
-        return np.cumprod(run, dtype=np.uint64)
-
-    return powers(_BASE), powers(pow(_BASE, -1, 2**64))
+def _lowered() -> np.ndarray:
+    """The lower-case form of every byte that is one of A to Z, and the others as they are."""
+    lowered = np.arange(256, dtype=np.uint8)
+    lowered[65:91] += 32
+    return lowered
 
 
 class Words:
@@ -52,7 +43,7 @@ class Words:
     ``starts`` and ``ends`` are byte places in ``data``; ``first`` has one more entry than texts.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 0):
         self.data, self.offsets = data, offsets
         inside = ~_SEPARATORS[data]
         opens = inside.copy()
@@ -65,27 +56,39 @@ class Words:
         closes[last] |= inside[last]
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = self._hashed(lower)
+        self.hashes = self._hashed(lower, seed)
 
-    def _hashed(self, lower: bool) -> np.ndarray:
+    def _hashed(self, lower: bool, seed: int) -> np.ndarray:
+        """A word's bytes are mixed in eight at a time, those of long words by a library; both begin with the seed.
+
+        Mixing is no polynomial, under which words can be built that collide whatever its base.
+        """
         if not len(self.starts):
             return np.empty(0, np.uint64)
-        power, inverse = _powers(_size_for(len(self.data)))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        letters = _letters()[1 if lower else 0][self.data]
-        letters *= power[: len(letters)]
-        np.cumsum(letters, out=total[1:])
-        hashes = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        return mixed(hashes + (self.ends - self.starts).astype(np.uint64))
+        data = _lowered()[self.data] if lower else self.data
+        sizes = self.ends - self.starts
+        # Eight bytes at every place, as one number.
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        hashes = mixed(mixed(sizes.astype(np.uint64)) ^ mixed(np.array([seed], np.uint64)))
+        short = np.flatnonzero(sizes <= _LONG)
+        for step in range(0, _LONG, 8):
+            short = short[sizes[short] > step]
+            if not len(short):
+                break
+            chunk = eight[self.starts[short] + step].copy().view("<u8").ravel()
+            left = np.minimum(sizes[short] - step, 8).astype(np.uint64)
+            chunk &= np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left)
+            hashes[short] = mixed((hashes[short] ^ chunk) * np.uint64(_BASE) + np.uint64(step + 1))
+        for word in np.flatnonzero(sizes > _LONG).tolist():
+            held = data[self.starts[word] : self.ends[word]].tobytes()
+            hashes[word] = xxhash.xxh3_64_intdigest(held, seed)
+        return hashes
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def _size_for(length: int) -> int:
-    return 1 << max(20, (length - 1).bit_length())
-
-
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each text begins and ends; null is empty."""
     if column.null_count:
@@ -97,14 +100,14 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[places[0] : places[-1]], places - places[0]
 
 
-def words_of(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, Words]]:
+def words_of(column: pa.Array, lower: bool = True, seed: int = 0) -> Iterator[tuple[int, Words]]:
     """The words of a column in runs of about a mebibyte: the first row of each run, and its words."""
     data, offsets = column_bytes(column)
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _PIECE, "right")) - 1)
         end = min(end, len(column))
-        yield row, Words(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], lower)
+        yield row, Words(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], lower, seed)
         row = end
 
 
@@ -124,8 +127,8 @@ def place_factor(place: int) -> np.uint64:
     return _PLACES[place] if place < len(_PLACES) else np.uint64(pow(_BASE, place + 2, 2**64) | 1)
 
 
-def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, size: int, seed: int = 0) -> Iterator[np.ndarray]:
     """The shingles of every text of a column."""
-    for _, words in words_of(column):
+    for _, words in words_of(column, seed=seed):
         for begin, end in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
             yield shingled(words.hashes[begin:end], size)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyworks.llm.tasks import SEPARATORS
+from tallyworks.llm.tasks import SEPARATORS, named
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,17 +59,19 @@ def without_lines(docs: DataFrame, cut: DataFrame) -> DataFrame:
     per_doc = one.groupBy(*key).agg(
         F.collect_set("position").alias("positions"), F.count("*").alias("cut_lines"), F.sum("line_words").alias("cut_words")
     )
-    left, right = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d"), per_doc.alias("c")
+    # The given row in a struct, so that no name of its columns meets one that is made here.
+    held = docs.select(F.struct(*named(docs)).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("site"), "text", F.xxhash64("text").alias("hash"))
+    left, right = held.alias("d"), per_doc.alias("c")
     on = (
-        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
-        & F.col("d.source").eqNullSafe(F.col("c.source"))
-        & (F.col("d._text_hash") == F.col("c.text_hash"))
+        F.col("d.id").eqNullSafe(F.col("c.doc_id"))
+        & F.col("d.site").eqNullSafe(F.col("c.source"))
+        & (F.col("d.hash") == F.col("c.text_hash"))
     )
     # Positions are in order and matched in one pass over both arrays.
     kept = F.array_except(F.sequence(F.lit(0), F.size(F.split("d.text", "\n")) - 1), F.col("c.positions"))
     clean = let(F.split("d.text", "\n"), lambda lines: F.array_join(F.transform(kept, lambda at: F.get(lines, at)), "\n"))
     return left.join(right, on, "left").select(
-        *[F.col(f"d.`{name.replace('`', '``')}`") for name in docs.columns],
+        "d.row.*",
         F.when(F.col("c.cut_lines").isNull(), F.col("d.text")).otherwise(clean).alias("clean_text"),
         F.coalesce("c.cut_lines", F.lit(0)).alias("cut_lines"),
         F.coalesce("c.cut_words", F.lit(0)).alias("cut_words"),

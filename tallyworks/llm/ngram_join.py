@@ -18,7 +18,7 @@ pair crosses, so that each block's lists are merged in one task:
    Sets that are still not connected with the block's largest component are searched in all parts, a
    bounded number of them at a time.
 
-Everything is exact but for 64-bit hashes of n-grams. Links are found as far as they connect
+Everything is exact but for 64-bit hashes of n-grams, which begin with a random number of each call. Links are found as far as they connect
 something that was not yet connected.
 """
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import secrets
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -41,9 +42,10 @@ WORDS = 5
 PERCENT = 80
 # The share of a set that its pool has beyond what similar sets may differ by.
 POOL = 0.1
-# N-grams of one batch, and of one block's part.
-BATCH = 1 << 20
-PART = 1 << 22
+# N-grams of one batch, and of one block's part; and sets of a part, each of which counts for so many n-grams at least.
+BATCH = 1 << 19
+PART = 1 << 20
+SETS = 1 << 10
 # The weight of a long list's length in DivideSkip's choice of the number of long lists.
 SKIP = 0.01
 
@@ -100,12 +102,12 @@ def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 # Step 1: profiles and pools
 
 
-def profiles(docs: DataFrame, words: int) -> DataFrame:
+def profiles(docs: DataFrame, words: int, seed: int = 0) -> DataFrame:
     """``doc_id, n_shingles, first, second`` of every row: the size and the fingerprint of its set."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(found), *fingerprint(found)) for found in shingle_sets(batch.column("text"), words)]
+            rows = [(len(found), *fingerprint(found)) for found in shingle_sets(batch.column("text"), words, seed)]
             columns = [pa.array(column, pa.int64()) for column in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "first", "second"])
 
@@ -116,7 +118,7 @@ def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def shared_in_pools(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def shared_in_pools(docs: DataFrame, words: int, percent: int, seed: int = 0) -> DataFrame:
     """``first, shared``: for sets by fingerprint, how many pool elements other sets' pools have, at least.
 
     An element that two sets of a batch have is known to be shared, and goes on once; so no task gets
@@ -149,7 +151,7 @@ def shared_in_pools(docs: DataFrame, words: int, percent: int) -> DataFrame:
         held: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:
-            for found in shingle_sets(batch.column("text"), words):
+            for found in shingle_sets(batch.column("text"), words, seed):
                 if len(found):
                     owner = fingerprint(found)[0]
                     if owner not in held:
@@ -201,7 +203,7 @@ def shared_in_pools(docs: DataFrame, words: int, percent: int) -> DataFrame:
 # Step 2: blocks
 
 
-def sets_in_chunks(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+def sets_in_chunks(docs: DataFrame, chosen: DataFrame, words: int, seed: int = 0) -> DataFrame:
     """The sets of the chosen documents (``node, first, second``), some hundred thousand elements to a row."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +223,7 @@ def sets_in_chunks(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             wanted = zip(batch.column("doc_id").to_pylist(), batch.column("first").to_pylist(), batch.column("second").to_pylist())
-            for (node, first, second), found in zip(wanted, shingle_sets(batch.column("text"), words)):
+            for (node, first, second), found in zip(wanted, shingle_sets(batch.column("text"), words, seed)):
                 if fingerprint(found) != (first, second):
                     continue
                 held.append((node, found))
@@ -479,8 +481,8 @@ def _own(count: str) -> Column:
 
 
 def _parts(rows: DataFrame, part: int, label: str) -> DataFrame:
-    """``block, parts``: how many parts of about ``part`` elements the rows of a block make."""
-    total = rows.groupBy("block").agg(F.sum("size").alias("total"))
+    """``block, parts``: how many parts of about ``part`` elements, and of about ``SETS`` sets at most, the rows of a block make."""
+    total = rows.groupBy("block").agg(F.sum(F.greatest("size", F.lit(part // SETS))).alias("total"))
     return written(total.select("block", F.ceil(F.col("total") / F.lit(part)).cast("int").alias("parts")), label)
 
 
@@ -518,7 +520,9 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part
     """
     spark = docs.sparkSession
     for_workers(spark)
-    profile = written(profiles(docs, words), "profiles")
+    # Hashes begin with a number of this call, so that no text can be written to collide with another.
+    seed = secrets.randbits(63)
+    profile = written(profiles(docs, words, seed), "profiles")
     node = profile.filter("n_shingles > 0 and doc_id is not null").groupBy("first", "second").agg(
         F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")
     )
@@ -526,8 +530,8 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
     share = F.greatest(F.lit(1), F.floor(F.lit(POOL) * least))
     need = F.least(share, F.ceil(F.lit(percent) * least / 100))
-    chosen = node.join(shared_in_pools(docs, words, percent), "first").filter(F.col("shared") >= need - 1).select("node", "first", "second")
-    chunks = written(sets_in_chunks(docs, chosen, words), "sets")
+    chosen = node.join(shared_in_pools(docs, words, percent, seed), "first").filter(F.col("shared") >= need - 1).select("node", "first", "second")
+    chunks = written(sets_in_chunks(docs, chosen, words, seed), "sets")
     block_of = written(blocks(first_elements(chunks, percent)), "blocks")
     found = links_in_blocks(set_rows(chunks), block_of, percent, part)
     # Equal doc_ids with other texts are one node as well.

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyworks.llm.tasks import for_workers, written
+from tallyworks.llm.tasks import for_workers, partitions, written
 
 SEQUENCE = 2048
 OPEN_SEQUENCES = 4096
@@ -59,15 +59,18 @@ def ranks_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def pieces(docs: DataFrame, ranks_path: str | None = None, sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, ranks_path: str | None = None, sequence: int = SEQUENCE, with_ids: bool = False, in_order: bool = False
+) -> DataFrame:
     """Every document's ids, followed by the id 0, cut into pieces of at most ``sequence``.
 
     Only a longer document is cut, into full pieces after a first one that may be shorter. Null
     text is empty, so its only id is the 0. Repeated rows, and rows without ``doc_id``, are
-    documents of their own. Columns: those of ``PIECES``, and ``ids`` with ``with_ids``.
+    documents of their own. Columns: those of ``PIECES``, ``ids`` with ``with_ids``, and with ``in_order`` the ``place`` of the document.
+    An empty table gives an empty one; other columns are dropped.
     """
     for_workers(docs.sparkSession)
-    schema = PIECES + (", ids ARRAY<INT>" if with_ids else "")
+    schema = PIECES + (", ids ARRAY<INT>" if with_ids else "") + (", place BIGINT" if in_order else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(ranks_path or ranks_file())
@@ -75,14 +78,15 @@ def pieces(docs: DataFrame, ranks_path: str | None = None, sequence: int = SEQUE
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows: list[tuple] = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                places = part.column("place").to_pylist() if in_order else [None] * part.num_rows
+                for doc_id, text, place in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), places):
                     ids = encoder.ids(text or "") + b"\0\0\0\0"
                     count = len(ids) // 4
                     begin, end = 0, count % sequence or min(count, sequence)
                     number = 0
                     while begin < count:
                         held = ids[4 * begin : 4 * end]
-                        rows.append((doc_id, number, begin, end - begin, zlib.crc32(held), held))
+                        rows.append((doc_id, number, begin, end - begin, zlib.crc32(held), held, place))
                         begin, end, number = end, end + sequence, number + 1
                 columns = list(zip(*rows))
                 arrays = [pa.array(column, kind) for column, kind in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
@@ -90,9 +94,13 @@ def pieces(docs: DataFrame, ranks_path: str | None = None, sequence: int = SEQUE
                 if with_ids:
                     arrays.append(pa.array([np.frombuffer(held, "<u4").astype(np.int32) for held in columns[5]], pa.list_(pa.int32())))
                     names.append("ids")
+                if in_order:
+                    arrays.append(pa.array(columns[6], pa.int64()))
+                    names.append("place")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, schema)
+    place = [F.col("place").cast("bigint")] if in_order else []
+    return docs.select(F.col("doc_id").cast("bigint"), "text", *place).mapInArrow(cut, schema)
 
 
 class OpenSequences:
@@ -130,13 +138,16 @@ class OpenSequences:
         return number
 
 
-def best_fit(cut: DataFrame, sequence: int = SEQUENCE, most: int = OPEN_SEQUENCES) -> DataFrame:
+def best_fit(cut: DataFrame, sequence: int = SEQUENCE, most: int = OPEN_SEQUENCES, in_order: bool = False) -> DataFrame:
     """Assign pieces to sequences: adds ``sequence_id`` and ``offset``.
 
     ``cut`` has the columns of ``PIECES``; further ones are dropped. Only these numbers are
     shuffled, evenly by a hash, and put into an order that a repeated task meets again. Sequence
     numbers are unique, not consecutive. No piece may be longer than ``sequence``. An empty table
     gives no rows.
+
+    With ``in_order`` pieces are dealt by ranges of ``place``, which is kept, and arrive in its order: the sequences of a range have
+    smaller numbers than those of a later one, and hold nothing of it. Rows of one place are told apart by their other columns.
     """
     for_workers(cut.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -157,6 +168,10 @@ def best_fit(cut: DataFrame, sequence: int = SEQUENCE, most: int = OPEN_SEQUENCE
                 block["offset"] = [offset for _, offset in placed]
                 yield block
 
+    if in_order:
+        order = ["place", "doc_id", "piece", "ids_crc32"]
+        dealt = cut.select(*names, "place").repartitionByRange(partitions(cut.sparkSession), *order).sortWithinPartitions(*order)
+        return dealt.mapInPandas(pack, f"{PIECES}, place BIGINT, sequence_id BIGINT, offset BIGINT")
     mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = cut.select(*names).repartition(mixed).sortWithinPartitions(mixed, "doc_id", "piece", "start", "length")
     return dealt.mapInPandas(pack, PLACED)
@@ -167,6 +182,12 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None, sequence: int
     return best_fit(pieces(docs, ranks_path, sequence), sequence, most)
 
 
+def pack_in_order(docs: DataFrame, ranks_path: str | None = None, sequence: int = SEQUENCE, most: int = OPEN_SEQUENCES) -> DataFrame:
+    """As ``pack_documents``, in the order of a column ``place`` that ``docs`` has; columns: ``PLACED`` and ``place``."""
+    cut = pieces(docs, ranks_path, sequence, in_order=True)
+    return best_fit(cut, sequence, most, in_order=True).select(*[name.split()[0] for name in PLACED.split(", ")], "place")
+
+
 def sequences(docs: DataFrame, ranks_path: str | None = None, sequence: int = SEQUENCE, most: int = OPEN_SEQUENCES) -> DataFrame:
     """The packed sequences themselves: ``sequence_id``, ``ids`` and the ``doc_ids`` in their order.
 

@@ -16,15 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyworks.llm.hashing import Words, mixed, words_of
-from tallyworks.llm.tasks import for_workers
+from tallyworks.llm.tasks import for_workers, written
 
 # Places for each kind of n-gram.
 BYTE_RUNS = 1 << 16
 WORD_PLACES = 1 << 17
 SHAPE_RUNS = 1 << 13
 FEATURES = BYTE_RUNS + WORD_PLACES + SHAPE_RUNS
-# The most labelled rows that the hinge-loss model is fitted on; the counts take in all of them.
+# The most labelled rows that the hinge-loss model is fitted on, and bytes of their features; the counts take in all of them.
 SAMPLE = 8000
+SAMPLE_BYTES = 256 << 20
+# Sums of so many tasks are added first, then those sums.
+LEVEL = 256
 SLICES = 64
 COST = 10.0
 ROUNDS = 30
@@ -151,9 +154,14 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, seed: int = SEED) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, seed: int = SEED, sample_bytes: int = SAMPLE_BYTES
+) -> Model:
     """Fit on all given labels: counts over every row, the hinge-loss model on at most about ``sample`` of them.
 
+    Where the features of that sample take more than ``sample_bytes``, as of very long texts, a part of it is taken that does not, drawn by hash.
+    An empty table, of documents or labels, is one without rows of both classes.
+
     Labels other than 0 and 1 and labels of no document are left out; a document that is labelled twice counts
     twice. Without rows of both classes the score of every text is the smoothed share of label 1.
     """
@@ -166,6 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     width = -(-FEATURES // SLICES)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        level = TaskContext.get().partitionId() % LEVEL
         sums, rows = np.zeros((2, width * SLICES), np.int64), np.zeros(2, np.int64)
         names = ["slice", "fold", "label", "data"]
         for batch in batches:
@@ -179,8 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names)
         if rows.sum():
-            made = [(-2, 0, kind, rows[kind : kind + 1].tobytes()) for kind in (0, 1)]
-            made += [(at, 0, kind, sums[kind, at * width : (at + 1) * width].tobytes()) for at in range(SLICES) for kind in (0, 1)]
+            made = [(-2, level, kind, rows[kind : kind + 1].tobytes()) for kind in (0, 1)]
+            made += [(at, level, kind, sums[kind, at * width : (at + 1) * width].tobytes()) for at in range(SLICES) for kind in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names)
 
     def added(table: pa.Table) -> pa.Table:
@@ -190,16 +201,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         return pa.table([table["slice"][:1], table["fold"][:1], table["label"][:1], pa.array([total.tobytes()], pa.binary())], table.column_names)
 
     schema = "slice INT, fold BIGINT, label INT, data BINARY"
-    # The sample is dealt over as many groups as there are sums; its rows are left as they are.
-    spread = F.when(F.col("slice") == -1, F.pmod(F.xxhash64("data"), F.lit(SLICES)))
-    gathered = texts.mapInArrow(counted, schema).withColumn("_spread", spread).groupBy("slice", "label", "_spread").applyInArrow(
-        lambda table: added(table.drop_columns(["_spread"])), schema
+    # One column holds the fold of a row of the sample, and the level of a sum. Sums of one level are added, and written with the sample.
+    first = F.when(F.col("slice") == -1, F.pmod(F.xxhash64("data"), F.lit(SLICES))).otherwise(F.col("fold"))
+    gathered = texts.mapInArrow(counted, schema).withColumn("_group", first).groupBy("slice", "label", "_group").applyInArrow(
+        lambda table: added(table.drop_columns(["_group"])), schema
     )
-    totals, counts, drawn_rows = np.zeros((2, width * SLICES)), np.zeros(2), []
-    for row in gathered.collect():
-        if row.slice == -1:
-            drawn_rows.append((row.fold, row.label, bytes(row.data)))
-        elif row.slice == -2:
+    gathered = written(gathered, "class_counts")
+    chosen = gathered.filter("slice = -1")
+    size = chosen.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    part = int(min(1.0, sample_bytes / max(1, size)) * (1 << 30))
+    chosen = chosen.filter(F.pmod(F.xxhash64(F.lit(seed), "data"), F.lit(1 << 30)) < part)
+    drawn_rows = [(row.fold, row.label, bytes(row.data)) for row in chosen.collect()]
+    totals, counts = np.zeros((2, width * SLICES)), np.zeros(2)
+    for row in gathered.filter("slice <> -1").groupBy("slice", "label").applyInArrow(added, schema).collect():
+        if row.slice == -2:
             counts[row.label] = np.frombuffer(row.data, np.int64)[0]
         else:
             totals[row.label, row.slice * width : (row.slice + 1) * width] = np.frombuffer(row.data, np.int64)

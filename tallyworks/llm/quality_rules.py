@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency; built-in functions only.
 
 Lines are normalised and hashed; the distinct texts that hold a line are counted per host. Lines
-above both limits are removed, and a document that loses too many of its words is rejected.
+in so many of them are removed, and a document that loses too many of its words is rejected.
 Rules on the document alone come first: too few words, or too many words in repeated windows.
 """
 
@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyworks.llm.lines import let, line_rows, without_lines, words_in
 from tallyworks.llm.tasks import named, text_or_empty, written
 
-# A line is boilerplate of a host when it is in so many of the host's distinct texts, and in such a share of them.
+# A line is boilerplate of a host when it is in so many of the host's distinct texts, however many texts the host has.
 MIN_TEXTS = 10
-MIN_SHARE = 0.1
 # The share of its words that a document must keep.
 MIN_LEFT = 0.5
 
@@ -76,31 +75,24 @@ def measured(docs: DataFrame) -> DataFrame:
             repeated_words(words).alias("n_repeat_words"),
         )
 
-    found = docs.withColumn("_measures", let(words_in(text), of_words)).select(
-        *named(docs),
-        F.col("_measures.n_words").alias("n_words"),
-        F.col("_measures.word_chars").alias("word_chars"),
+    # The given row in a struct, so that no name of its columns meets one that is made here.
+    found = docs.select(
+        F.struct(*named(docs)).alias("row"),
+        let(words_in(text), of_words).alias("measures"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         let(lines, lambda held: F.size(held) - F.size(F.array_distinct(held))).cast("bigint").alias("n_dup_lines"),
-        F.col("_measures.n_repeat_words").alias("n_repeat_words"),
-    )
+    ).select("row.*", "measures.n_words", "measures.word_chars", "n_symbols", "n_dup_lines", "measures.n_repeat_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return found.withColumn("base_failed", failed)
 
 
-def host_boilerplate(rows: DataFrame, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE) -> DataFrame:
-    """``source, line_hash`` of the lines above both limits. Copies of a text count once; a null host is a host."""
-    per_line = rows.groupBy("source", "line_hash").agg(F.count_distinct("text_hash").alias("texts")).filter(F.col("texts") >= min_texts)
-    per_host = rows.groupBy("source").agg(F.count_distinct("text_hash").alias("all_texts"))
-    left, right = per_line.alias("l"), per_host.alias("h")
-    return (
-        left.join(right, F.col("l.source").eqNullSafe(F.col("h.source")))
-        .filter(F.col("texts") >= min_share * F.col("all_texts"))
-        .select("l.source", "l.line_hash")
-    )
+def host_boilerplate(rows: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """``source, line_hash`` of the lines in at least ``min_texts`` texts of a host. Copies of a text count once; a null host is a host."""
+    per_line = rows.groupBy("source", "line_hash").agg(F.count_distinct("text_hash").alias("texts"))
+    return per_line.filter(F.col("texts") >= min_texts).select("source", "line_hash")
 
 
-def quality_rules(docs: DataFrame, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def quality_rules(docs: DataFrame, min_texts: int = MIN_TEXTS, min_left: float = MIN_LEFT) -> DataFrame:
     """Every document with its measures, ``clean_text``, ``cut_lines``, ``cut_words`` and ``kept``.
 
     ``docs`` has ``doc_id, text, source``; columns of other names pass through, and any that has a
@@ -111,7 +103,7 @@ def quality_rules(docs: DataFrame, min_texts: int = MIN_TEXTS, min_share: float
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "cut_lines", "cut_words", "kept"}
     docs = docs.drop(*made)
     rows = written(line_rows(docs), "lines")
-    lines, frequent = rows.alias("r"), host_boilerplate(rows, min_texts, min_share).alias("f")
+    lines, frequent = rows.alias("r"), host_boilerplate(rows, min_texts).alias("f")
     cut = lines.join(
         frequent,
         F.col("r.source").eqNullSafe(F.col("f.source")) & (F.col("r.line_hash") == F.col("f.line_hash")),

@@ -54,7 +54,8 @@ CONTROL_TEXT = r"\### Assistant: </turn> ok"
                sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, escaped)) as turns_sha256,
                cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
                sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn nulls first, role, escaped)) as loss_sha256,
-               cast(sum(length(escaped) + role_chars + 23) as bigint) as formatted_chars
+               cast(sum(length(escaped) + role_chars + 23) as bigint) as formatted_chars,
+               cast(0 as bigint) as n_attachments, cast(0 as bigint) as attached_tokens
         from marked group by conv_id"""
 )
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +74,12 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace.of(spark).path("shards")
     placed = sharding.shuffle_into_shards(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return placed.select(
+    sharding.write_shards(placed, path)
+    # A table without rows leaves no file to read columns from.
+    shards = spark.read.schema("doc_id BIGINT, text STRING, slot BIGINT, shard INT").parquet(path)
+    return shards.select(
         "doc_id",
         sharding.record_size().alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
@@ -112,10 +117,7 @@ LINES_SQL = r"""
     dup as (
       select doc_id, count(*) - count(distinct raw) as n from numbered
       where regexp_matches(raw, '[^\x20\x09-\x0D]') group by doc_id),
-    hosts as (select source, count(distinct text) as all_texts from worded group by source),
-    frequent as (
-      select source, line from (select source, line, count(distinct text) as texts from worded group by source, line) join hosts using (source)
-      where texts >= 10 and texts >= 0.1 * all_texts),
+    frequent as (select source, line from worded group by source, line having count(distinct text) >= 10),
     cut as (select doc_id, sum(line_words) as n from worded join frequent using (source, line) group by doc_id),
     base as (
       select w.doc_id, cast(len(words) as bigint) as n_words, cast(length(list_aggregate(words, 'string_agg', '')) as bigint) as word_chars,

@@ -97,6 +97,55 @@ def test_shards_hold_every_row_once(documents, odd_rows, tmp_path, spark):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(rows)
 
 
+def test_copies_of_a_row_are_scattered(spark):
+    """Rows that are alike in all columns, a null id among them, go to all buckets, and come back as often."""
+    rows = [(None, "the same text " * 20, "x")] * 3000 + [(7, "another text " * 20, "x")] * 1500 + [(at, f"text {at} " * 20, "x") for at in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` string").repartition(6)
+    order = sharding._numbered(frame, 1).selectExpr("doc_id", "pmod(order, 20) as bucket").groupBy("doc_id", "bucket").count().collect()
+    hot = [row["count"] for row in order if row.doc_id is None]
+    assert len(hot) == 20 and max(hot) < 2 * 3000 / 20
+    found = sharding.shuffle_into_shards(frame, shards=7, bucket_bytes=50_000).collect()
+    assert sorted((row.doc_id or -1, row.text) for row in found) == sorted((i or -1, t) for i, t, _ in rows)
+    assert len({(row.shard, row.slot) for row in found}) == 5000 and {row["a.b"] for row in found} == {"x"}
+
+
+def test_shards_against_plain_python(spark, tmp_path):
+    """The whole order by hand: buckets by hash, each shuffled by Fisher and Yates, end to end, cut into shards."""
+    rows = [(at, f"text {at % 50} " * (at % 9)) for at in range(700)] + [(3, "again")] * 5 + [(None, None)] * 4
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    size, shards, seed = 2000, 5, 9
+    total = sum(len((text or "").encode()) + 8 for _, text in rows)
+    buckets = [[] for _ in range(-(-total // size))]
+    for row in sharding._numbered(frame, seed).select("doc_id", "row.text", "order").collect():
+        buckets[row.order % len(buckets)].append((row.order, row.doc_id, row.text))
+    ranked = []
+    for number, held in enumerate(buckets):
+        if held:
+            held.sort()
+            order = list(range(len(held)))
+            draw = np.random.default_rng([seed, number]).random(len(held))
+            for place in range(len(held)):
+                other = place + int(draw[place] * (len(held) - place))
+                order[place], order[other] = order[other], order[place]
+            ranked += [held[place] for place in order]
+    expected, begin = [], 0
+    for shard in range(shards):
+        end = len(ranked) * (shard + 1) // shards
+        expected += [(doc_id, text, shard, slot) for slot, (_, doc_id, text) in enumerate(ranked[begin:end])]
+        begin = end
+    made = sharding.shuffle_into_shards(frame, shards, seed, size)
+    sharding.write_shards(made, str(tmp_path / "shards"))
+    found = [(row.doc_id, row.text, row.shard, row.slot) for row in sharding.read_shards(spark, str(tmp_path / "shards")).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    runs = sharding.read_shards(spark, str(tmp_path / "shards")).selectExpr("shard", "slot", "_metadata.file_path as file", "_metadata.row_index as at").collect()
+    by_file = defaultdict(list)
+    for row in sorted(runs, key=lambda row: row["at"]):
+        by_file[row.shard, row.file].append(row.slot)
+    assert all(slots == sorted(slots) for slots in by_file.values())
+    spans = sorted((shard, slots[0], slots[-1]) for (shard, _), slots in by_file.items())
+    assert all(one[0] != two[0] or one[2] < two[1] for one, two in zip(spans, spans[1:]))
+
+
 def test_few_and_no_shards(documents, nothing):
     assert sorted(r.slot for r in sharding.shuffle_into_shards(documents([(1, "a", "b"), (2, "c", "d")])).collect()) == [0, 0]
     assert sharding.shuffle_into_shards(nothing).collect() == []
@@ -249,6 +298,23 @@ def test_features_of_texts_do_not_depend_on_the_batch():
         assert np.array_equal(own, alone) and len(np.unique(own)) == len(own)
 
 
+def test_the_fit_against_plain_counts(spark):
+    """Ratios from counts by hand; the same model from any partitions; a sample of few bytes is still one."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "labels"))
+    model = quality_model.train(docs, labels)
+    again = quality_model.train(docs.repartition(13), labels.repartition(2))
+    assert (model.ratios == again.ratios).all() and np.allclose(model.weights, again.weights) and model.slope == pytest.approx(again.slope)
+    counts = np.ones((2, quality_model.FEATURES))
+    quality = {row.doc_id: row.quality for row in labels.collect()}
+    held = [(row.text or "", quality[row.doc_id]) for row in docs.collect() if quality.get(row.doc_id) in (0, 1)]
+    for (_, label), own in zip(held, quality_model.features(pa.array([text for text, _ in held], pa.string()))):
+        counts[label, own] += 1
+    ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert np.allclose(model.ratios, ratios)
+    small = quality_model.train(docs, labels, sample_bytes=40_000)
+    assert (small.ratios == model.ratios).all() and not np.allclose(small.weights, model.weights)
+
+
 def test_held_out_quality(spark):
     data = DATA.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{data}/{name}.parquet") for name in ("documents", "labels"))

@@ -52,6 +52,23 @@ def test_reading_back(spark):
     assert row.loss_sha256 == hashlib.sha256("bbé<|end|>\\".encode()).hexdigest()
 
 
+def test_texts_are_read_through_the_mask(spark):
+    """A start or a length that is not the content's gives what lies there, and so another digest."""
+    rows = [(1, t, r, "x", [("text", x, None, None)]) for t, r, x in [(0, "user", "some question"), (1, "assistant", "an answer of é words"), (2, "user", "more")]]
+    formatted = chat.format_chats(spark.createDataFrame(rows, PARTS))
+    told = chat.read_back(formatted).first()
+
+    def moved(start, length):
+        place = lambda p: F.struct((p["start"] + start).alias("start"), (p["length"] + length).alias("length"), p["loss"].alias("loss"))
+        return chat.read_back(formatted.withColumn("contents", F.transform("contents", place))).first()
+
+    assert moved(0, 0) == told and told.loss_chars == 20
+    text, at = formatted.first().formatted, formatted.first().contents[1].start
+    for start, length in ((1, 0), (-3, 0), (0, -2), (2, -4)):
+        found = moved(start, length)
+        assert found.loss_sha256 == hashlib.sha256(text[at + start : at + start + 20 + length].encode()).hexdigest() != told.loss_sha256
+
+
 def test_an_unknown_part_fails_and_no_rows_are_no_rows(spark):
     from pyspark.errors import PySparkException
 
@@ -97,6 +114,14 @@ def test_boilerplate_of_a_host_is_removed_and_depleted_documents_go(documents):
     assert all(found[100 + i].kept and found[100 + i].cut_lines == 0 for i in range(15))
 
 
+def test_boilerplate_of_a_hot_host(documents):
+    """A line in 2 % of a host's texts goes, a line in fewer than ten texts stays, however many the host has."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, ("menu line of the site\n" if i < 20 else "a line of few\n" if i < 29 else "") + own(i), "hot") for i in range(1000)]
+    found = quality_rules.quality_rules(documents(rows)).collect()
+    assert {row.doc_id: row.cut_lines for row in found} == {i: int(i < 20) for i in range(1000)} and all(row.kept for row in found)
+
+
 def test_spread_lines_stay_once(documents):
     rows = [(i, f"the very same line\nown text of {i}\nfew words", f"site{i % 12}") for i in range(30, 0, -1)]
     rows += [(40, "The very  same line", "site1"), (41, "only on one site\nx", "site1"), (None, "the very same line\ny", "site2")]

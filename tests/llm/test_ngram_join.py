@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyworks.llm import graph, ngram_join
+from tallyworks.llm import graph, hashing, ngram_join
 from tallyworks.llm.hashing import shingle_sets
 
 DATA = "/root/testdata/sf0.001"
@@ -158,3 +158,28 @@ def test_a_split_block_whose_first_set_is_like_no_other(spark, monkeypatch):
     # Copies that had links in their parts have met before the last search; no task gets much more than two parts.
     assert len(asked) == 3 and asked[2] < len(rows) / 2
     assert max(row[3] for load in loads for row in load) < 3 * part
+
+
+def test_words_that_collide_under_any_polynomial(spark):
+    """Words spelled by the Thue-Morse sequence and by its opposite have equal polynomials modulo 2**64, whatever the base."""
+    for power in (10, 11, 12):
+        bits = [bin(at).count("1") % 2 for at in range(1 << power)]
+        one, two = ("".join("ab"[bit ^ flip] for bit in bits) for flip in (0, 1))
+        rows = [(1, one), (2, two), (3, "some " + one + " more words here"), (4, "some " + two + " more words here")]
+        found = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4, percent=85).collect()
+        assert {row.doc_id: row.component_id for row in found} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_hashes_tell_words_apart():
+    """Words of all lengths around the steps of eight bytes, and letters of either case."""
+    words = sorted({letter * size + end for size in [*range(1, 30), 63, 64, 65, 200] for letter in "ab" for end in ("", "a", "é", "\0")})
+    held = hashing.Words(*hashing.column_bytes(pa.array([" ".join(words), " ".join(words).upper().replace("É", "é")])), lower=True, seed=5)
+    first, second = held.hashes[: len(words)], held.hashes[len(words) :]
+    assert len(set(first.tolist())) == len(words) and (first == second).all()
+    other = hashing.Words(*hashing.column_bytes(pa.array([" ".join(words)])), lower=True, seed=6).hashes
+    assert not set(other.tolist()) & set(first.tolist())
+
+
+def test_parts_are_bounded_by_sets(spark):
+    sizes = spark.range(5000).selectExpr("id % 2 as block", "id as node", "3 as size")
+    assert {row.block: row.parts for row in ngram_join._parts(sizes, ngram_join.PART, "parts").collect()} == {0: 3, 1: 3}

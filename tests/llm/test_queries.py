@@ -12,7 +12,7 @@ from test_ngram_join import brute_force
 
 import corpus_pipeline
 from corpus_pipeline import STAGES
-from tallyworks.llm import packing, queries, warc
+from tallyworks.llm import mixing, packing, queries, warc
 from tallyworks.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -86,6 +86,56 @@ def test_the_pipeline_cuts_boilerplate_of_a_hot_host(spark, documents):
     assert found == {i: "a line of few\n" + text if 20 <= i < 29 else text for i, text in texts.items()}
 
 
+def test_the_pipeline_passes_odd_columns_through(spark, tmp_path):
+    """Columns with dots, backticks, and names of what the stages make come out of every stage as they went in."""
+    names = ["doc_id", "text", "source", "n_chars", "a.b", "c`d", "_node", "_text_hash", "_measures", "_at", "kept", "clean_text", "position", "node", "given", "size"]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)), f"s{i % 3}", None, *[f"{name} {i}" for name in names[4:]]) for i in range(30)]
+    quoted = [f"`{name.replace('`', '``')}` string" for name in names[4:]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint, " + ", ".join(quoted))
+    for name, stage in STAGES[:-1]:
+        found = stage(spark, docs, DATA)
+        assert found.columns == names
+        found.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        held = docs.collect()
+        assert {row.doc_id for row in held} == set(range(30)) or name == "mixing"
+        assert all(row[column] == f"{column} {row.doc_id}" for row in held for column in names[4:])
+    assert {row.doc_id for row in STAGES[-1][1](spark, docs, DATA).collect()} <= set(range(30))
+
+
+def test_the_pipeline_of_no_documents(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    odd = [(1, None, "en", None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, None, None, None, None)]
+    spark.createDataFrame(odd, schema).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "odd")).collect() == []
+
+
+def test_sequences_ascend_in_training_time(spark, tmp_path):
+    """Packing follows the order that mixing wrote: later sequences hold later documents, and copies are told apart."""
+    draw = random.Random(9)
+    rows = [(i, " ".join(f"w{draw.randrange(99)}" for _ in range(draw.randrange(50, 900))), f"s{i % 4}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    mixing.stream(docs).write.parquet(str(tmp_path / "mixed"))
+    held = spark.read.parquet(str(tmp_path / "mixed"))
+    order = held.selectExpr("doc_id", "position", "_metadata.file_name as file", "_metadata.row_index as at").collect()
+    order = sorted(order, key=lambda row: (row.file, row.at))
+    assert [row.position for row in order] == sorted(row.position for row in order)
+    pieces = corpus_pipeline.packed(spark, held, DATA).collect()
+    places = sorted({row.place for row in pieces})
+    assert len(places) == len(order)
+    time = {place: row.position for place, row in zip(places, order)}
+    doc = {place: row.doc_id for place, row in zip(places, order)}
+    assert all(row.doc_id == doc[row.place] for row in pieces)
+    ranges = defaultdict(list)
+    for row in pieces:
+        ranges[row.sequence_id >> 40].append(time[row.place])
+    spans = [(min(held), max(held)) for _, held in sorted(ranges.items())]
+    assert len(spans) > 3 and all(one[1] <= two[0] for one, two in zip(spans, spans[1:]))
+    assert sum(row.length for row in pieces) > 0.85 * 2048 * len({row.sequence_id for row in pieces})
+
+
 def test_near_duplicates_with_repeated_and_missing_ids(spark):
     """Unlike texts that share an id stay; one of each group of copies stays, with or without ids."""
     text = lambda name: " ".join(f"{name}{k}" for k in range(30))
