@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyworks.llm import line_dedup, mixing, ngram_join, packing, quality_rules
@@ -12,51 +13,73 @@ from tallyworks.storage import Workspace
 ORACLE_SQL = None
 
 
-def _with_text(docs: DataFrame, names: list[str]) -> DataFrame:
-    """The columns of documents with the cleaned text, and its length where there is such a column."""
-    held = docs.withColumn("text", F.col("clean_text"))
-    if "n_chars" in names:
-        held = held.withColumn("n_chars", F.length("text").cast("bigint"))
-    return held.select(*names)
+def _held(docs: DataFrame) -> DataFrame:
+    """The columns that the operators take, and the given row in a struct, so that no name of its columns meets one of theirs."""
+    return docs.select("doc_id", "text", "source", F.struct(*named(docs)).alias("given"))
+
+
+def _with_text(held: DataFrame, names: list[str]) -> DataFrame:
+    """The given rows with the cleaned text, and its length where there is a column for it."""
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("bigint")}
+    return held.select(*[new.get(name, F.col(f"given.`{name.replace('`', '``')}`")).alias(name) for name in names])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rejected documents; take a host's boilerplate lines out of the others.
 
-    A line in ``MIN_TEXTS`` distinct texts of its host is boilerplate, however many texts the host has.
+    A null text has too few words and goes. Repeated rows are judged alike; a null source is a host. No rows give no rows.
     """
-    return _with_text(quality_rules.quality_rules(docs, min_share=0.0).filter("kept"), docs.columns)
+    return _with_text(quality_rules.quality_rules(_held(docs)).filter("kept"), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave one occurrence of lines that many sites share; drop documents that consist of nothing else."""
-    return _with_text(line_dedup.line_dedup(docs).filter("not emptied"), docs.columns)
+    """Leave one occurrence of lines that many sites share; drop documents that consist of nothing else.
+
+    A null text has no lines and stays. Repeated rows have the same lines cut. No rows give no rows.
+    """
+    return _with_text(line_dedup.line_dedup(_held(docs)).filter("not emptied"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of similar ones: the one with the smallest id, those without id last.
 
     Each distinct ``(doc_id, text)`` is a document of its own, so rows that share an id or have none are compared like
-    any others. Of rows that repeat a document one stays, chosen by a hash of all columns.
+    any others. Of rows that repeat a document one stays, chosen by a hash of all columns. Texts without words, and null ones, are
+    similar to nothing. No rows give no rows.
     """
-    held = docs.withColumn("_node", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
-    groups = ngram_join.ngram_join(held.select(F.col("_node").alias("doc_id"), "text"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_node"))
-    components = groups.select(F.col("doc_id").alias("_node"), "component_id").distinct()
-    chosen = held.select("_node", "doc_id").join(components, "_node").groupBy("component_id").agg(least.alias("least"))
-    repeats = Window.partitionBy("_node").orderBy(F.xxhash64(*named(docs)))
-    kept = held.join(chosen.select("least._node"), "_node", "left_semi").withColumn("_at", F.row_number().over(repeats))
-    return kept.filter("_at = 1").select(*docs.columns)
+    node = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    rows = docs.select(node.alias("node"), "doc_id", "text", F.xxhash64(*named(docs)).alias("hash"), F.struct(*named(docs)).alias("given"))
+    groups = ngram_join.ngram_join(rows.select(F.col("node").alias("doc_id"), "text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
+    components = groups.select(F.col("doc_id").alias("node"), "component_id").distinct()
+    chosen = rows.select("node", "doc_id").join(components, "node").groupBy("component_id").agg(least.alias("least"))
+    repeats = Window.partitionBy("node").orderBy("hash")
+    kept = rows.join(chosen.select("least.node"), "node", "left_semi").withColumn("at", F.row_number().over(repeats))
+    return kept.filter("at = 1").select("given.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as their source's target asks for, in training order."""
-    return mixing.stream(docs).select(*docs.columns)
+    """The documents as often as their source's target asks for, in training order: the order of the rows in the files they are written to.
+
+    Null texts have no words and are taken with their neighbours; a null source is one. Of repeated rows any may be taken. No rows give no rows.
+    """
+    return mixing.stream(_held(docs)).select("given.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
-    return packing.pack_documents(docs)
+    """The pieces of all documents with their places in sequences, packed in the order of the rows in their files.
+
+    ``place`` is that of a document in the order: the number of its file, of the part of it, and the row. It tells copies of a document apart.
+    Rows that come from no files are packed in any order, without it. Null texts are empty; repeated rows are documents; no rows give no rows.
+    """
+    file, part = (F.regexp_extract("_metadata.file_name", pattern, 1) for pattern in (r"^part-(\d+)-", r"-c(\d+)\."))
+    number = lambda digits: F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
+    place = F.shiftleft(number(file), 43) + F.shiftleft(number(part), 36) + F.col("_metadata.row_index")
+    try:
+        ordered = docs.select("doc_id", "text", place.alias("place"))
+    except AnalysisException:
+        return packing.pack_documents(docs)
+    return packing.pack_in_order(ordered)
 
 
 STAGES = [
