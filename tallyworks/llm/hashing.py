@@ -70,7 +70,7 @@ class Words:
         # Eight bytes at every place, as one number.
         padded = np.concatenate((data, np.zeros(8, np.uint8)))
         eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        hashes = mixed(mixed(sizes.astype(np.uint64)) ^ mixed(np.array([seed], np.uint64)))
+        hashes = mixed(mixed(sizes.astype(np.uint64)) ^ mixed(np.array([seed], np.uint64) ^ np.uint64(_BASE)))
         short = np.flatnonzero(sizes <= _LONG)
         for step in range(0, _LONG, 8):
             short = short[sizes[short] > step]

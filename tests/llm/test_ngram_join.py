@@ -178,8 +178,3 @@ def test_hashes_tell_words_apart():
     assert len(set(first.tolist())) == len(words) and (first == second).all()
     other = hashing.Words(*hashing.column_bytes(pa.array([" ".join(words)])), lower=True, seed=6).hashes
     assert not set(other.tolist()) & set(first.tolist())
-
-
-def test_parts_are_bounded_by_sets(spark):
-    sizes = spark.range(5000).selectExpr("id % 2 as block", "id as node", "3 as size")
-    assert {row.block: row.parts for row in ngram_join._parts(sizes, ngram_join.PART, "parts").collect()} == {0: 3, 1: 3}
