@@ -184,7 +184,8 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None, sequence: int
 
 def pack_in_order(docs: DataFrame, ranks_path: str | None = None, sequence: int = SEQUENCE, most: int = OPEN_SEQUENCES) -> DataFrame:
     """As ``pack_documents``, in the order of a column ``place`` that ``docs`` has; columns: ``PLACED`` and ``place``."""
-    cut = pieces(docs, ranks_path, sequence, in_order=True)
+    # Written: dealing by ranges reads the pieces twice, and texts are to be encoded once.
+    cut = written(pieces(docs, ranks_path, sequence, in_order=True), "pieces")
     return best_fit(cut, sequence, most, in_order=True).select(*[name.split()[0] for name in PLACED.split(", ")], "place")
 
 
