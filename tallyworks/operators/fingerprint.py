@@ -11,19 +11,23 @@ SEEDS = (1, 2)
 
 def _hashable(value: Column, kind: DataType) -> Column:
     """A value that can be hashed: maps as sorted entries, and nulls told apart at every depth."""
+    return F.struct(*_parts(value, kind))
+
+
+def _parts(value: Column, kind: DataType) -> list[Column]:
     if isinstance(kind, MapType):
         entries = F.transform(F.map_entries(value), lambda one: F.struct(_hashable(one["key"], kind.keyType).alias("k"), _hashable(one["value"], kind.valueType).alias("v")))
-        return F.struct(value.isNull(), F.array_sort(entries))
+        return [value.isNull(), F.array_sort(entries)]
     if isinstance(kind, ArrayType):
-        return F.struct(value.isNull(), F.size(value), F.transform(value, lambda one: _hashable(one, kind.elementType)))
+        return [value.isNull(), F.size(value), F.transform(value, lambda one: _hashable(one, kind.elementType))]
     if isinstance(kind, StructType):
-        return F.struct(value.isNull(), *[_hashable(value.getField(field.name), field.dataType).alias(f"f{at}") for at, field in enumerate(kind.fields)])
+        return [value.isNull(), *[_hashable(value.getField(field.name), field.dataType).alias(f"f{at}") for at, field in enumerate(kind.fields)]]
     if isinstance(kind, VariantType):
-        return F.struct(value.isNull(), F.to_json(value))
+        return [value.isNull(), F.to_json(value)]
     if isinstance(kind, (DoubleType, FloatType)):
         # Zeros of both signs are equal, and so are all NaN.
-        return F.struct(value.isNull(), F.when(F.isnan(value), F.lit(float("nan")).cast(kind)).otherwise(value + F.lit(0.0).cast(kind)))
-    return F.struct(value.isNull(), value)
+        return [value.isNull(), F.when(F.isnan(value), F.lit(float("nan")).cast(kind)).otherwise(value + F.lit(0.0).cast(kind))]
+    return [value.isNull(), value]
 
 
 def fingerprint(frame: DataFrame) -> DataFrame:
@@ -33,7 +37,7 @@ def fingerprint(frame: DataFrame) -> DataFrame:
     partitions; others have unequal ones but for chance: a value that was changed or moved to another row or column, a row that was lost and
     one that was doubled change both sums. Each task sends one row of sums. An empty table has zeros.
     """
-    values = [_hashable(F.col(f"`{field.name.replace('`', '``')}`"), field.dataType) for field in frame.schema.fields]
+    values = [part for field in frame.schema.fields for part in _parts(F.col(f"`{field.name.replace('`', '``')}`"), field.dataType)]
     hashed = frame.select(*[F.xxhash64(F.lit(seed), *values).cast("decimal(20,0)").alias(f"h{seed}") for seed in SEEDS])
     zero = F.lit(0).cast("decimal(30,0)")
     return hashed.agg(F.count("*").alias("rows"), F.coalesce(F.sum("h1"), zero).alias("first"), F.coalesce(F.sum("h2"), zero).alias("second"))
