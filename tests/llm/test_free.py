@@ -275,6 +275,39 @@ def test_recall_holds_where_the_windows_are_a_small_part_of_the_table(spark):
     assert hits >= 0.95 * 20 * 200
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_windows_that_hold_all_true_neighbours_find_them(spark, kind):
+    """With a recall of 1 and fewer queries than are tested, the result is that of comparing all; windows span many stretches."""
+    held = np.random.default_rng(5).normal(size=(1500, 16)).astype("f4").astype("f8")
+    held[700:760] = held[20]
+    frame = spark.createDataFrame([(at, row) for at, row in enumerate(held.tolist())], f"vec_id bigint, embedding array<{kind}>")
+    found = defaultdict(list)
+    for row in nearest.nearest_neighbours(frame, nearest=5, curves=6, block=8, recall=1.0).collect():
+        found[row.query_id].append((row.rank, row.vec_id))
+    assert set(found) == set(range(0, 1500, 20))
+    for query, mine in found.items():
+        scores = held.dot(held[query])
+        exact = sorted((-score, at) for at, score in enumerate(scores.tolist()) if at != query)[:5]
+        assert [at for _, at in sorted(mine)] == [at for _, at in exact]
+
+
+def test_the_cheapest_number_of_curves(spark):
+    def plan(blocks, **options):
+        """``blocks`` has the block of one query's only neighbour along each curve; the query is in block 100."""
+        rows = [(1, curve, True, 100) for curve in range(len(blocks))] + [(2, curve, False, at) for curve, at in enumerate(blocks)]
+        places = spark.createDataFrame(rows, "vector_id bigint, curve int, query boolean, block bigint")
+        truth = spark.createDataFrame([(1, 2)], "vector_id bigint, other_id bigint")
+        return nearest.search_plan(places, truth, 1.0, **options)
+
+    assert plan([100] * 8, queries_per_block=100) == (4, 1)
+    assert plan([0, 50, 90, 130, 99, 98], queries_per_block=100) == (5, 1)
+    assert plan([0, 50, 97, 130, 99, 98], queries_per_block=1) == (4, 3)
+    assert plan([90, 40], queries_per_block=100) == (2, 10)
+    none = spark.createDataFrame([], "vector_id bigint, other_id bigint")
+    places = spark.createDataFrame([(1, 0, True, 0)], "vector_id bigint, curve int, query boolean, block bigint")
+    assert nearest.search_plan(places, none, 0.9, 100) == (1, 1)
+
+
 def test_odd_vectors(spark):
     schema = "vec_id bigint, embedding array<float>, rank string, score string"
     good = [(i, [1.0, 0.5], "x", "x") for i in range(60, 0, -1)] + [(0, [2.0, 0.0], "x", "x"), (0, [2.0, 0.0], "x", "x"), (70, [-1.0, 0.0], "x", "x")]
