@@ -10,6 +10,7 @@ the number of pieces.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,13 @@ PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGIN
 PLACED = f"{PIECES}, sequence_id BIGINT, offset BIGINT"
 
 
+# White space as the vocabulary's pattern has it; fixed values.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# So many of these in a row are encoded as the one piece that they are: the pattern looks back over
+# all of them, for which its stack is too small at some hundred thousand.
+_LONG_SPACE = 1 << 16
+
+
 class Tokenizer:
     """Token ids of texts as little-endian 32-bit numbers, for byte-level BPE with public ranks."""
 
@@ -41,10 +49,19 @@ class Tokenizer:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.encode = encoding.encode_ordinary
+        whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.encode, self.encode_piece = encoding.encode_ordinary, whole.encode_ordinary
+        self.spaces = re.compile(f"[{_SPACES}]{{{_LONG_SPACE},}}")
 
     def ids(self, text: str) -> bytes:
-        found = self.encode(text)
+        found, begin = [], 0
+        if len(text) >= _LONG_SPACE:
+            for run in self.spaces.finditer(text):
+                # The last one belongs to the word after it.
+                end = run.end() - (run.end() < len(text))
+                found += self.encode(text[begin : run.start()]) + self.encode_piece(text[run.start() : end])
+                begin = end
+        found += self.encode(text[begin:])
         return struct.pack(f"<{len(found)}I", *found)
 
 

@@ -1,9 +1,11 @@
+import os
 import random
 import struct
 import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow.parquet as parquet
 import pytest
 from tokenizers import Tokenizer
 
@@ -29,6 +31,27 @@ def test_ids_are_those_of_the_tokenizer_file(reference):
         assert own.ids(text) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_ids_of_the_whole_table(reference):
+    """Of the largest table with ``TALLYWORKS_DATA=/root/testdata/sf0.1``."""
+    own = packing.Tokenizer(packing.ranks_file())
+    folder = os.environ.get("TALLYWORKS_DATA", DATA)
+    for text in parquet.read_table(f"{folder}/documents.parquet", columns=["text"])["text"].to_pylist():
+        ids = reference(text)
+        assert own.ids(text or "") == struct.pack(f"<{len(ids)}I", *ids)
+
+
+@pytest.mark.parametrize("space", [" ", "\n", " \n", "\t\u3000", "\x85\u2028", "\x1c"])
+@pytest.mark.parametrize("times", [(1 << 15) - 1, 1 << 15, 1 << 16, 600_000])
+def test_ids_of_long_runs_of_white_space(reference, space, times):
+    own = packing.Tokenizer(packing.ranks_file())
+    run = space * times
+    for text in (run, f"{run}a", f"a{run}", f"a {run} b's{run}7{run}."):
+        if times > 1 << 16 and len(text) > 2 * len(run):
+            continue
+        ids = reference(text)
+        assert own.ids(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def check(rows, texts, reference, sequence):
     """Every document's ids are all there, in pieces that lie gapless in their sequences."""
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
