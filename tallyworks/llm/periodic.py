@@ -6,6 +6,10 @@ order; the least depth it comes through between two leaves is that of their lowe
 the two suffixes agree, and a table of minima over powers of two gives it in constant time. The longest Lyndon word at every
 place, in an order of the words and in the opposite one, is the root of all runs there are: extended to both directions by
 the two trees, the roots that repeat are the runs.
+
+Trees take about a kilobyte per word, so a very long stretch has trees of overlapping windows. These find every period up
+to an eighth of a window. For longer ones all subwords of 2, 4, 8... words are numbered, equal ones alike, by pairs of halves: a run of
+period q, at least a power of two P and less than 2P, holds a subword of 2P words at a multiple of P that occurs next q words on.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ PIECE = 1 << 21
 TOGETHER = 1 << 14
 # Rounds of cutting at rare words; what is left then goes to the trees.
 ROUNDS = 8
+# Words of the longest tree, a power of two; and the least number of periods for which windows find all runs.
+WINDOW = 1 << 16
+WINDOW_PERIODS = 4
 
 RUNS = "ARRAY<STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>>"
 
@@ -194,8 +201,67 @@ def stretches(ids: np.ndarray, least: int, periods: int) -> Iterator[tuple[int,
             yield int(at[begin]), int(at[end - 1]) + 1
 
 
-def _runs_of_texts(texts: list[np.ndarray], least: int, periods: int) -> list[np.ndarray]:
-    """The runs of several texts, each an array of numbers from 0 up. Short stretches share a tree, with a number of its own after each."""
+def _ahead(ids: np.ndarray, at: int, period: int) -> int:
+    """How many words from a place on equal the word a period later."""
+    begin, step = at, 1 << 10
+    while at < len(ids) - period:
+        end = min(at + step, len(ids) - period)
+        unlike = ids[at:end] != ids[at + period : end + period]
+        if unlike.any():
+            return at - begin + int(unlike.argmax())
+        at, step = end, 2 * step
+    return at - begin
+
+
+def _numbered_subwords(ids: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each power of two from ``length`` to a third of the text: it, and numbers of the subwords of twice as many words."""
+    _, numbers = np.unique(ids, return_inverse=True)
+    half = 1
+    while half <= len(ids) // 3:
+        _, numbers = np.unique(numbers[:-half] * (int(numbers.max()) + 1) + numbers[half:], return_inverse=True)
+        if half >= length:
+            yield half, numbers
+        half *= 2
+
+
+def runs_of_long(ids: np.ndarray, least: int, periods: int, window: int) -> np.ndarray:
+    """As ``runs_of`` for any numbers and ``WINDOW_PERIODS`` periods or more, with trees of ``window`` words at most."""
+    size, backward = len(ids), ids[::-1]
+    found: list[tuple[int, int, int]] = []
+    last: dict[int, tuple[int, int]] = {}
+
+    def add(start: int, period: int) -> None:
+        """The whole run that has a period at a place, unless that was the last one found with the period."""
+        begin, end = last.get(period, (0, 0))
+        if begin <= start and start + period <= end:
+            return
+        begin, end = start - _ahead(backward, size - start - period, period), start + period + _ahead(ids, start, period)
+        if end - begin >= max(least, periods * period):
+            last[period] = begin, end
+            found.append((begin, end - begin, period))
+
+    for begin in range(0, size - window // 2, window // 2):
+        for start, _, period in _runs_of_texts([ids[begin : begin + window]], min(least, window // 2), WINDOW_PERIODS, window)[0].tolist():
+            add(begin + start, period)
+    last.clear()
+    for power, numbers in _numbered_subwords(ids, window // 8):
+        order = np.argsort(numbers, kind="stable")
+        following = np.full(len(numbers), -1)
+        again = np.flatnonzero(np.diff(numbers[order]) == 0)
+        following[order[again]] = order[again + 1]
+        places = np.arange(0, len(numbers), power)
+        period = following[places] - places
+        own = (period >= power) & (period < 2 * power)
+        for start, length in zip(places[own].tolist(), period[own].tolist()):
+            add(start, length)
+    return np.unique(np.array(found, np.int64).reshape(-1, 3), axis=0)
+
+
+def _runs_of_texts(texts: list[np.ndarray], least: int, periods: int, window: int = WINDOW) -> list[np.ndarray]:
+    """The runs of several texts, each an array of numbers from 0 up. Short stretches share a tree, with a number of its own after each.
+
+    Rows are in order of start, then period.
+    """
     found: list[list[np.ndarray]] = [[] for _ in texts]
     waiting: list[tuple[int, int, np.ndarray]] = []
     held = 0
@@ -218,6 +284,9 @@ def _runs_of_texts(texts: list[np.ndarray], least: int, periods: int) -> list[np
         if len(ids) < least:
             continue
         for begin, end in stretches(ids, least, periods):
+            if end - begin > window and periods >= WINDOW_PERIODS:
+                found[text].append(runs_of_long(ids[begin:end], least, periods, window) + [begin, 0, 0])
+                continue
             waiting.append((text, begin, ids[begin:end]))
             held += end - begin
             if held >= TOGETHER:
@@ -225,7 +294,8 @@ def _runs_of_texts(texts: list[np.ndarray], least: int, periods: int) -> list[np
                 held = 0
     if waiting:
         solve()
-    return [np.concatenate(rows) if rows else np.empty((0, 3), np.int64) for rows in found]
+    joined = [np.concatenate(rows) if rows else np.empty((0, 3), np.int64) for rows in found]
+    return [rows[np.lexsort((rows[:, 2], rows[:, 0]))] for rows in joined]
 
 
 def _numbers(words: list[bytes]) -> np.ndarray:
@@ -242,7 +312,8 @@ def periodic_runs(docs: DataFrame, least: int = LEAST_LENGTH, periods: int = LEA
     those that a run has after its first q. Null text, and text without words, has no runs and collapses to an empty text.
     Repeated rows and rows without ``doc_id`` are documents of their own; an empty table gives an empty one.
 
-    A task holds some of a batch's texts as words. Trees take about a kilobyte per word of the longest stretch that may hold runs.
+    A task holds some of a batch's texts as words, and trees of ``WINDOW`` words, however long a text is. With fewer than
+    ``WINDOW_PERIODS`` periods asked for, trees are as long as the longest stretch that may hold runs.
     """
     for_workers(docs.sparkSession)
     if periods < 2:

@@ -40,14 +40,11 @@ def test_ids_of_the_whole_table(reference):
         assert own.ids(text or "") == struct.pack(f"<{len(ids)}I", *ids)
 
 
-@pytest.mark.parametrize("space", [" ", "\n", " \n", "\t\u3000", "\x85\u2028", "\x1c"])
-@pytest.mark.parametrize("times", [(1 << 15) - 1, 1 << 15, 1 << 16, 600_000])
+@pytest.mark.parametrize("space, times", [(" ", 1 << 16), ("\n", (1 << 16) - 1), ("\t\u3000", 1 << 15), ("\x85\u2028", 20_000), ("\x1c", 1 << 16), (" \n", 300_000)])
 def test_ids_of_long_runs_of_white_space(reference, space, times):
     own = packing.Tokenizer(packing.ranks_file())
     run = space * times
-    for text in (run, f"{run}a", f"a{run}", f"a {run} b's{run}7{run}."):
-        if times > 1 << 16 and len(text) > 2 * len(run):
-            continue
+    for text in (run, f"{run}a") if times > 1 << 16 else (run, f"{run}a", f"a{run}", f"a {run} b's{run}7."):
         ids = reference(text)
         assert own.ids(text) == struct.pack(f"<{len(ids)}I", *ids)
 

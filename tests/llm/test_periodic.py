@@ -59,6 +59,33 @@ def test_runs_against_every_period(least, periods):
         assert [tuple(run) for run in both[0].tolist()] == expected and not len(both[2])
 
 
+@pytest.mark.parametrize("least, periods, window", [(6, 4, 16), (6, 4, 32), (9, 4, 8), (30, 5, 16)])
+def test_runs_of_texts_longer_than_a_tree(least, periods, window):
+    draw = random.Random(window + least)
+    for case in range(150):
+        words = [word for _ in range(draw.randrange(1, 5)) for word in words_with_runs(draw)]
+        if case % 2:
+            period, start = draw.randrange(1, 60), draw.randrange(len(words) + 1)
+            unit = [f"w{draw.randrange(3)}" for _ in range(period)]
+            words[start:start] = unit * draw.randrange(3, 7) + unit[: draw.randrange(period)]
+        ids = periodic._numbers([word.encode() for word in words])
+        expected = every_period(words, least, periods)
+        both = periodic._runs_of_texts([ids, ids[::-1]], least, periods, window)
+        assert [tuple(run) for run in both[0].tolist()] == expected
+        assert sorted((len(ids) - start - length, length, period) for start, length, period in both[1].tolist()) == sorted(expected)
+
+
+def test_a_very_long_text_of_few_words():
+    """Its only runs are planted: one of one word over several windows, one of a period longer than a window."""
+    draw = np.random.default_rng(3)
+    ids = draw.integers(0, 50, 500_000)
+    ids[1000:151_000] = 60
+    ids[200_000:460_000] = np.resize(ids[200_000:265_000], 260_000)
+    ids[[199_999, 460_000]] = 61, 62
+    found = [tuple(run) for run in periodic._runs_of_texts([ids], 24, 4, 1 << 14)[0].tolist()]
+    assert found == [(1000, 150_000, 1), (200_000, 260_000, 65_000)]
+
+
 def test_trees_agree_with_comparing():
     draw = random.Random(8)
     for _ in range(60):
