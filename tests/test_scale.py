@@ -1,6 +1,7 @@
 """What must hold on large and skewed tables: plan shapes, hot keys, where files go."""
 
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,6 +216,77 @@ def test_a_cluster_must_share_the_folder(spark):
     assert storage.shared_folder(OnCluster(spark, **{"spark.tallyworks.mounted": "true"})) == "/tmp/shared"
 
 
+class Sharing(OnCluster):
+    """A cluster whose executors write where ``session`` does."""
+
+    defaultParallelism = 4
+
+    def __init__(self, session, **settings):
+        super().__init__(session, **settings)
+        self.range, self.read = session.range, session.read
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_a_cluster_may_share_a_file_folder(spark, tmp_path):
+    """It is told by what tasks write there, not by its name; the trial leaves nothing."""
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        assert storage.shared_folder(Sharing(spark, **{"spark.checkpoint.dir": folder})) == folder
+    warehouse = {"spark.checkpoint.dir": None, "spark.sql.warehouse.dir": f"file:{tmp_path}"}
+    assert storage.shared_folder(Sharing(spark, **warehouse)) == f"file:{tmp_path}"
+    assert not list(tmp_path.iterdir())
+
+
+def test_files_that_only_their_writers_see_are_not_shared(spark, tmp_path):
+    apart = Sharing(spark, **{"spark.checkpoint.dir": str(tmp_path)})
+    apart.range = lambda start, end, step, tasks: spark.range(start, end - 1, step, tasks - 1)
+    with pytest.raises(RuntimeError, match="do not share"):
+        storage.shared_folder(apart)
+    assert not list(tmp_path.iterdir())
+
+
+CUSTOMERS = "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
+PARTS = "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
+LINES = "l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP"
+ROWS = {
+    "customer": (CUSTOMERS, [(key, f"n{key}", 1, 1.5, "SEG") for key in range(40, 50)]),
+    "part": (PARTS, [(key, "red bolt", "b", "t", key % 2, 2.5) for key in range(4)]),
+    "orders": ("o_orderkey BIGINT, o_totalprice DOUBLE, o_orderpriority STRING", [(1, 1.25, "a"), (2, 2.5, "a"), (3, 4.0, "b")]),
+    "lineitem": (LINES, [(1, 1, 2.0, "A", "F", datetime(1995, 1, 1)), (1, 2, 3.0, "N", "O", datetime(1996, 1, 1))]),
+    "events": ("event_id BIGINT, event_type STRING", [(1, "view"), (2, "view"), (3, "buy")]),
+    "documents": ("doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT", [(1, "a\nb", "en", "s", 3), (2, None, "en", "s", 0)]),
+}
+# Queries that write files or tables on the way, with their numbers of rows.
+ON_THE_WAY = {
+    "cell_get": 1, "cell_table": 30, "compacted_cells": 30, "contract_check": 10, "contract_drift": 10, "csv_records": 2, "csv_parquet_roundtrip": 4,
+    "exposure_contract_job": 1, "exposure_job": 1, "external_csv_header": 1, "external_csv_raw": 1, "external_csv_headerless": 4,
+    "file_inventory": 2, "folder_listing": 2, "folder_tree": 8, "kept_definitions": 4, "headerless_csv_scan": 4, "key_count_job": 2,
+    "line_key_count_job": 2, "managed_table_count": 1, "sales_job": 2, "point_get": 3, "sample_bootstrap": 1, "table_exists": 1,
+}
+
+
+@pytest.fixture(scope="module")
+def few_rows(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("few")
+    for name, (schema, rows) in ROWS.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+@pytest.mark.parametrize("name", ON_THE_WAY)
+def test_queries_run_on_a_cluster_that_mounts_one_folder(spark, few_rows, tmp_path, monkeypatch, name):
+    context = spark.sparkContext
+    monkeypatch.setattr(context, "master", "spark://host:7077")
+    monkeypatch.setattr(context, "getCheckpointDir", lambda: f"file://{tmp_path}")
+    monkeypatch.setattr(Workspace, "_open", {})
+    assert QUERIES[name](spark, few_rows).count() == ON_THE_WAY[name]
+    work = Workspace.of(spark)
+    assert storage.qualified_path(spark, work.root).startswith("file:") and storage.path_exists(spark, work.root)
+    work.close()
+    assert not storage.path_exists(spark, work.root)
+
+
 def test_closing_a_workspace_removes_what_it_wrote(spark):
     work, shared = Workspace(spark), Workspace.of(spark)
     path, table = work.path("x"), work.table("t")
