@@ -154,12 +154,33 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+def _last_places(sizes: list[tuple[int, int, int]], most: int) -> dict[int, int | None]:
+    """For each class, the last place of ``label, place, size`` whose rows are taken when all of them have more than ``most`` bytes.
+
+    A class has its share of the bytes; it is null where the rows of its first place, copies of one text, are more than that.
+    """
+    total = sum(size for _, _, size in sizes)
+    if total <= most:
+        return {}
+    last: dict[int, int | None] = {}
+    for kind in {kind for kind, _, _ in sizes}:
+        held: dict[int, int] = {}
+        for place, size in ((place, size) for label, place, size in sizes if label == kind):
+            held[place] = held.get(place, 0) + size
+        places = sorted(held)
+        sums = np.cumsum([held[place] for place in places])
+        taken = int((sums <= most * (sums[-1] / total)).sum())
+        last[kind] = places[taken - 1] if taken else None
+    return last
+
+
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, seed: int = SEED, sample_bytes: int = SAMPLE_BYTES
 ) -> Model:
     """Fit on all given labels: counts over every row, the hinge-loss model on at most about ``sample`` of them.
 
-    Where the features of that sample take more than ``sample_bytes``, as of very long texts, a part of it is taken that does not, drawn by hash.
+    Where the features of that sample take more than ``sample_bytes``, as of very long texts, a part of it is taken that does not, drawn by hash within
+    each class; of a class that has rows in the sample, one is taken at least.
     An empty table, of documents or labels, is one without rows of both classes.
 
     Labels other than 0 and 1 and labels of no document are left out; a document that is labelled twice counts
@@ -208,9 +229,13 @@ def train(
     )
     gathered = written(gathered, "class_counts")
     chosen = gathered.filter("slice = -1")
-    size = chosen.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    part = int(min(1.0, sample_bytes / max(1, size)) * (1 << 30))
-    chosen = chosen.filter(F.pmod(F.xxhash64(F.lit(seed), "data"), F.lit(1 << 30)) < part)
+    # What decides on a row of the sample is a number each; the features are read once it is known which are taken.
+    place = F.pmod(F.xxhash64(F.lit(seed), "data"), F.lit(1 << 30))
+    sizes = [(row.label, row.place, row.size) for row in chosen.select("label", place.alias("place"), F.octet_length("data").alias("size")).collect()]
+    for kind, last in _last_places(sizes, sample_bytes).items():
+        own, others = F.col("label") == kind, chosen.filter(F.col("label") != kind)
+        # Of a rare class one row is taken at least.
+        chosen = others.union(chosen.filter(own).orderBy(place, "fold").limit(1) if last is None else chosen.filter(own & (place <= last)))
     drawn_rows = [(row.fold, row.label, bytes(row.data)) for row in chosen.collect()]
     totals, counts = np.zeros((2, width * SLICES)), np.zeros(2)
     for row in gathered.filter("slice <> -1").groupBy("slice", "label").applyInArrow(added, schema).collect():

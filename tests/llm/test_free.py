@@ -348,6 +348,18 @@ def test_the_fit_against_plain_counts(spark):
     assert (small.ratios == model.ratios).all() and not np.allclose(small.weights, model.weights)
 
 
+def test_a_rare_class_stays_in_a_sample_of_few_bytes(spark):
+    """Classes have their shares of the bytes, and a row at least; copies of one text are not taken all for that."""
+    sizes = [(1, place, 100) for place in range(10)] + [(0, 5, 100)] * 2
+    assert quality_model._last_places(sizes, 1200) == {}
+    assert quality_model._last_places(sizes, 600) == {1: 4, 0: None}
+    docs = spark.createDataFrame([(at, f"word{at} " * 20 if at < 60 else "# rare") for at in range(62)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(at, int(at < 60)) for at in range(62)], "doc_id bigint, quality int")
+    model = quality_model.train(docs, labels, sample_bytes=300)
+    rare, other = (row.score for row in quality_model.score(docs.filter("doc_id in (1, 61)"), model).orderBy("doc_id", ascending=False).collect())
+    assert rare < other
+
+
 def test_held_out_quality(spark):
     data = DATA.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{data}/{name}.parquet") for name in ("documents", "labels"))
