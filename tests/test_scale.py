@@ -1,8 +1,14 @@
 """What must hold on large and skewed tables: plan shapes, hot keys, where files go."""
 
+import json
+import os
 import re
+import subprocess
+import sys
 from datetime import datetime
+from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +252,19 @@ def test_files_that_only_their_writers_see_are_not_shared(spark, tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+def test_a_cluster_takes_the_warehouse_if_it_does_not_share_the_named_folder(spark, tmp_path):
+    named = {"spark.checkpoint.dir": "/proc/apart", "spark.sql.warehouse.dir": str(tmp_path)}
+    assert storage.shared_folder(Sharing(spark, **named)) == str(tmp_path)
+    assert not list(tmp_path.iterdir())
+    with pytest.raises(RuntimeError, match="do not share /proc/apart"):
+        storage.shared_folder(Sharing(spark, **named | {"spark.sql.warehouse.dir": "/proc/apart_too"}))
+
+
+def test_processes_on_one_machine_are_a_cluster(spark):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Unset(spark, "local-cluster[2,1,1024]"))
+
+
 CUSTOMERS = "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
 PARTS = "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
 LINES = "l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP"
@@ -287,6 +306,60 @@ def test_queries_run_on_a_cluster_that_mounts_one_folder(spark, few_rows, tmp_pa
     assert not storage.path_exists(spark, work.root)
 
 
+# What executors find below /proc/self/cwd is their own, as a machine's temporary folder is.
+IN_PROCESSES = """
+import json, sys
+from pyspark.sql import SparkSession
+from tallyworks.plans.queries import QUERIES
+from tallyworks.storage import Workspace
+tables, warehouse, named, *names = sys.argv[1:]
+conf = {"spark.sql.warehouse.dir": warehouse, "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.executor.memory": "700m"}
+conf |= {"spark.checkpoint.dir": named} if named else {}
+spark = SparkSession.builder.master("local-cluster[2,2,1024]").config(map=conf).getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+told = {}
+for name in names:
+    try:
+        rows = QUERIES[name](spark, tables).collect()
+        told[name] = [len(rows), list(rows[0]) if len(rows) == 1 else None]
+    except Exception as failed:
+        told[name] = [f"{type(failed).__name__}: {failed}"[:300], None]
+Workspace.of(spark).close()
+print(json.dumps(told))
+spark.stop()
+"""
+# The only row of those queries that give a single number.
+COUNTS = {"external_csv_header": [4], "external_csv_raw": [4, True], "managed_table_count": [10], "sample_bootstrap": [10], "table_exists": [False, True, 10]}
+
+
+@pytest.fixture(scope="module", params=["", "/proc/self/cwd/named"], ids=["none named", "the named one apart"])
+def in_processes(few_rows, tmp_path_factory, request):
+    """What the queries give on executors that are processes and share the warehouse alone."""
+    root = tmp_path_factory.mktemp("processes")
+    for folder in ("conf", "home/work", "cwd", "local", "warehouse"):
+        (root / folder).mkdir(parents=True)
+    for part in Path(pyspark.__file__).parent.iterdir():
+        if part.name != "work":
+            (root / "home" / part.name).symlink_to(part)
+    env = {
+        "SPARK_CONF_DIR": f"{root}/conf", "SPARK_HOME": f"{root}/home", "SPARK_LOCAL_DIRS": f"{root}/local", "SPARK_SCALA_VERSION": "2.13",
+        "TMPDIR": "/proc/self/cwd", "PYTHONPATH": str(Path(__file__).resolve().parents[1]), "SPARK_LOCAL_IP": "127.0.0.1", "TZ": "UTC",
+        "PYSPARK_SUBMIT_ARGS": f"--driver-memory 1g --driver-java-options -Djava.io.tmpdir={root}/local pyspark-shell",
+    }
+    command = [sys.executable, "-c", IN_PROCESSES, few_rows, f"{root}/warehouse", request.param, *ON_THE_WAY]
+    ran = subprocess.run(command, env=os.environ | env, cwd=root / "cwd", capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr[-2000:]
+    assert not list((root / "warehouse").iterdir())
+    return json.loads(ran.stdout.splitlines()[-1])
+
+
+@pytest.mark.parametrize("name", ON_THE_WAY)
+def test_queries_run_in_processes_that_share_the_warehouse(in_processes, name):
+    rows, only = in_processes[name]
+    assert rows == ON_THE_WAY[name]
+    assert only == COUNTS.get(name, only)
+
+
 def test_closing_a_workspace_removes_what_it_wrote(spark):
     work, shared = Workspace(spark), Workspace.of(spark)
     path, table = work.path("x"), work.table("t")
